@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Write df as a table in the folder of spark.checkpoint.dir and read it: a lineage cut that is compressed on disk."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="periodica-checkpoint-")
+    path = f"{folder.rstrip('/')}/periodica-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def texts(documents: DataFrame, *columns: Column) -> DataFrame:
     """doc_id and text of a table, a null text as the empty one, without any further columns."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
@@ -87,3 +97,37 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Stands for a null doc_id where rows are ordered by it: smaller than any other.
+NO_ID = -(2**63)
+
+
+def one_per_id(documents: DataFrame) -> DataFrame:
+    """doc_id (null: NO_ID) and text with one row per doc_id: of rows that repeat an id, the one with the least text.
+
+    Only ids are shuffled to find repeats; texts move for repeated ids alone.
+    """
+    rows = texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    again = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "doc_id", "left_anti").union(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+#: A sketch has 2**SKETCH_BITS bits, whatever it is made from.
+SKETCH_BITS = 24
+
+
+def sketch(df: DataFrame, column: str) -> DataFrame:
+    """word, bits: a bitmap of fixed size over the hashes of a column; 2**18 rows at most, so that it can be broadcast."""
+    h = F.xxhash64(F.col(column))
+    return df.select(F.shiftrightunsigned(h, 64 - SKETCH_BITS + 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """df with a boolean column `maybe`: false only for values that are not in the sketch."""
+    h = F.xxhash64(F.col(column))
+    word = F.shiftrightunsigned(h, 64 - SKETCH_BITS + 6).cast("int")
+    found = df.join(F.broadcast(bitmap), word == bitmap["word"], "left")
+    return found.withColumn("maybe", F.expr(f"coalesce(bits & shiftleft(1L, cast(xxhash64({column}) & 63 as int)), 0L) <> 0")).drop("word", "bits")

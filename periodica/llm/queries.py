@@ -7,17 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, sharding
+from . import byte_bpe, exact_dedup, sharding, simhash, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup_bytes(_table(spark, sf_dir, "documents"), width=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_interleave, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_de_bruijn_dedup, op3_simhash, op4_interleave, op8_suffix_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = """
@@ -37,5 +50,17 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Words by a set of the six white-space characters; a window is a list slice.
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM m WHERE k > 1),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, len(words) AS n, coalesce(len(gone), 0) AS r, [words[i] FOR i IN range(1, len(words) + 1) IF NOT coalesce(list_contains(gone, i), false)] AS kept
+      FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_de_bruijn_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
