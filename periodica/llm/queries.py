@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, sharding, simhash, substring_dedup, suffix_array
+from . import byte_bpe, decontaminate, exact_dedup, pii, quality_knn, sharding, simhash, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Only for this query: a real run reads its key from a secret store.
+QUERY_KEY = "demonstration key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), QUERY_KEY)
+
+
 def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), width=20)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -27,6 +35,14 @@ def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_bytes(_table(spark, sf_dir, "documents"), width=100)
 
@@ -40,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_de_bruijn_dedup, op3_simhash, op4_interleave, op8_suffix_dedup, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_de_bruijn_dedup, op3_simhash, op4_interleave, op5_template_decontamination, op6_quality_knn, op8_suffix_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = """
