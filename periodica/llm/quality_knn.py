@@ -129,3 +129,9 @@ def quality_scores(documents: DataFrame, labels: DataFrame, column: str = "quali
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return texts(documents, held_out(5).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_quality(documents: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of documents, columns as they are, without those that quality_scores predicts 0 for."""
+    gone = quality_scores(documents, labels, **parameters).where("predicted = 0").select(F.col("doc_id").alias("gone")).distinct()
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["gone"]), "left_anti")

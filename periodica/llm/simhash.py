@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, pieces, texts
+from .common import NO_ID, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
 
 SEED = 42
 #: Lower-cases A-Z and nothing else.
@@ -89,17 +89,17 @@ def _segment(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else fp
 
 
-def links(points: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
-    """Pairs (a, b) of the distinct numbers in `points`.fp that span the same components as all pairs within `distance`.
+def links(points: DataFrame, distance: int = 4, count: int = 3, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs (a, b) of ids of `points` (id, fp) that span the same components as all pairs within `distance`.
 
     Each segment of a fingerprint is a table key. A fingerprint probes the keys in a small Hamming ball
-    around its own segment; a match's complete distance is verified. A dense bucket is first reduced to
-    a star: every probe is compared with the bucket's least member only, in a join that gives one row a
-    probe. After that only pairs from different components are left to be emitted, so that a group of
-    near copies costs its size and not its square in rows.
+    around its own segment; a match's complete distance is verified, then `check` (pairs to those that
+    hold) if there is one. A dense bucket is first reduced to a star: every probe is compared with the
+    bucket's least member only, in a join that gives one row a probe. After that only pairs from
+    different components are left to be emitted, so that a group of near copies costs its size and not
+    its square in rows.
     """
     cuts, radii = segments(64, count), balls(distance, count)
-    points = points.select("fp").distinct()
     tables, probes = [], []
     for i, ((shift, width), radius) in enumerate(zip(cuts, radii, strict=True)):
         if radius < 0:
@@ -109,17 +109,20 @@ def links(points: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
         probes += [F.struct(F.lit(i).alias("seg"), own.bitwiseXOR(F.lit(m)).alias("value")) for m in masks(width, radius)]
 
     def keyed(df: DataFrame, entries: list[Column], name: str) -> DataFrame:
-        return df.select("*", F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.value", F.col("fp").alias(name), *[c for c in df.columns if c != "fp"])
-
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pivots = keyed(points, tables, "b").groupBy("seg", "value").agg(F.min("b").alias("b"))
-    star = cut(keyed(points, probes, "a").join(pivots, ["seg", "value"]).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct())
-    label = components(star)
-    marked = cut(points.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("c")))
-    left = keyed(marked.withColumnRenamed("c", "ca"), probes, "a")
-    right = keyed(marked.withColumnRenamed("c", "cb"), tables, "b")
-    rest = left.join(right, (left["seg"] == right["seg"]) & (left["value"] == right["value"]) & (left["ca"] != right["cb"]) & near)
-    return star.union(rest.select("ca", "cb").distinct()).union(label.select("node", "component").where("node <> component"))
+        named = [F.col(c).alias(f"{name}_{c}") for c in df.columns]
+        return df.select(*named, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.value", *[f"{name}_{c}" for c in df.columns])
+
+    check = check or (lambda pairs: pairs)
+    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
+    pivots = keyed(points, tables, "b").groupBy("seg", "value").agg(F.min("b_id").alias("b_id"), F.min_by("b_fp", "b_id").alias("b_fp"))
+    star = keyed(points, probes, "a").join(pivots, ["seg", "value"]).where((F.col("a_id") != F.col("b_id")) & near)
+    star = cut(check(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
+    label = components(star).withColumnRenamed("node", "id")
+    marked = cut(points.join(label, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("c")))
+    left, right = keyed(marked, probes, "a"), keyed(marked, tables, "b")
+    rest = left.join(right, (left["seg"] == right["seg"]) & (left["value"] == right["value"]) & (left["a_c"] != right["b_c"]) & near)
+    rest = check(cut(rest.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()))
+    return star.union(rest)
 
 
 def simhash_components(documents: DataFrame, words: int = 4, distance: int = 4, segment_count: int = 3) -> DataFrame:
@@ -132,8 +135,76 @@ def simhash_components(documents: DataFrame, words: int = 4, distance: int = 4,
     """
     rows = cut(fingerprints(documents, words))
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(points, distance, segment_count))
+    label = components(links(points.select(F.col("fp").alias("id"), "fp"), distance, segment_count))
     named = points.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def _sets(rows: DataFrame, words: int, features: int) -> DataFrame:
+    """doc_id, the fingerprint of the distinct `features`-word runs, and a hash of the set of `words`-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            whole = [x.as_buffer().to_pybytes() for x in batch.column("text")]
+            fp = [majority(np.unique(shingle_hashes(x, features))) for x in whole]
+            content = [xxhash.xxh3_128_digest(_shingle_set(x, words).tobytes()) for x in whole]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(content, pa.binary())], ["doc_id", "fp", "content"])
+
+    bounded(rows.sparkSession)
+    return rows.mapInArrow(run, "doc_id long, fp long, content binary")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of shingles have at least that Jaccard similarity, counted exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found = [_shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    some = maybe(rows, "doc_id", sketch(ids, "doc_id")).where("maybe").select("doc_id", "text")
+    found = table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"))
+    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 8, segment_count: int = 5) -> DataFrame:
+    """doc_id, component_id (the least doc_id of its group) of every document.
+
+    Two documents are linked if their fingerprints are within `distance` and their sets of `words`-word
+    shingles have a Jaccard similarity of at least `similarity`. Fingerprints are taken of distinct
+    `features`-word runs: they move less than those of five words under a few edits, so that a small
+    ball reaches pairs down to the threshold. Documents without words form one group. Of rows that
+    repeat a doc_id the one with the least text counts; a null doc_id comes out null and in a group of its own
+    text. An empty table gives no rows.
+    """
+    rows = one_per_id(documents)
+    each = table(_sets(rows, words, features))
+    nodes = table(each.groupBy("fp", "content").agg(F.min("doc_id").alias("id")))
+    label = components(links(nodes.select("id", "fp"), distance, segment_count, lambda pairs: _similar(pairs, rows, words, similarity)))
+    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", "content", F.coalesce("component", "id").alias("component"))
+    found = each.join(named, ["fp", "content"])
+    null = lambda c: F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c)
+    return found.select("doc_id", F.col("component").alias("component_id")).select(null("doc_id"), null("component_id"))
+
+
+def keep_one_per_group(documents: DataFrame, **parameters) -> DataFrame:
+    """The rows of documents, columns as they are, of the least doc_id of each group of near duplicates."""
+    gone = near_duplicates(documents, **parameters).where("doc_id <> coalesce(component_id, doc_id - 1)").select(F.col("doc_id").alias("gone"))
+    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")
