@@ -1,10 +1,51 @@
-"""The corpus pipeline: every stage is one operator, written as Parquet and read again by the next."""
+"""The corpus pipeline: quality, exact and near duplicates, benchmark leaks, token ids.
+
+Each stage is one operator of periodica.llm over all that the stage before kept. A caller writes a
+stage's result as Parquet and hands it on as the next one's docs; all but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from periodica.llm import byte_bpe, decontaminate, exact_dedup, quality_knn, simhash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' vote rejects go."""
+    return quality_knn.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest doc_id stays."""
+    return exact_dedup.keep_exact(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the least doc_id stays: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.keep_one_per_group(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the token ids and of what they decode to."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_duplicates),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level bpe", token_ids),
+]
+#: No SQL says a trained classifier's votes; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
