@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Java's and DuckDB's form of one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A translation of bytes that lower-cases A-Z and nothing else.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows and bytes of one Arrow batch, so that a worker's memory does not follow the table.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, pii, quality_knn, sharding, simhash, substring_dedup, suffix_array
+from . import byte_bpe, decontaminate, exact_dedup, pii, quality_knn, recurrent_lm, sharding, simhash, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_bytes(_table(spark, sf_dir, "documents"), width=100)
 
@@ -56,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_de_bruijn_dedup, op3_simhash, op4_interleave, op5_template_decontamination, op6_quality_knn, op8_suffix_dedup, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_de_bruijn_dedup, op3_simhash, op4_interleave, op5_template_decontamination, op6_quality_knn, op7_recurrent_lm, op8_suffix_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = """

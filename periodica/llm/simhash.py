@@ -11,11 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
+from .common import LOWER, NO_ID, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
 
 SEED = 42
-#: Lower-cases A-Z and nothing else.
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
