@@ -73,26 +73,24 @@ def lowess(y: np.ndarray, frac: float, robust: int = 3) -> np.ndarray:
 
 
 def savgol(y: np.ndarray, window: int, order: int = 2) -> np.ndarray:
-    """Least-squares polynomial per window, at its centre (window / 2 - 0.5 where even); edges from the first and last window's fit."""
+    """Least-squares polynomial per window, at its centre; half a window at either edge from the first and last window's fit.
+
+    An even window of bar i spans i - window / 2 + 1 to i + window / 2, its centre is half a bar later.
+    """
     y = np.asarray(y, float)
     n = len(y)
     window = int(min(window, n))
     order = min(order, window - 1)
-    if window < 1 or n == 0:
+    if window < 1:
         return y.copy()
-    centre = (window - 1) / 2
-    x = np.arange(window) - centre
-    solve = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
+    centre, half = (window - 1) / 2, window // 2
+    solve = np.linalg.pinv(np.vander(np.arange(window) - centre, order + 1, increasing=True))
     out = np.empty(n)
-    half = window // 2
-    out[half : n - window + half + 1] = np.convolve(y, solve[0][::-1], mode="valid")
-    if window % 2 == 0:
-        pass  # the centre lies between two bars; the value is given to the later one
-    head, tail = solve @ y[:window], solve @ y[n - window :]
-    for i in range(half):
-        out[i] = sum(c * (i - centre) ** j for j, c in enumerate(head))
-    for i in range(n - window + half + 1, n):
-        out[i] = sum(c * (i - (n - window) - centre) ** j for j, c in enumerate(tail))
+    inner = np.convolve(y, solve[0][::-1], mode="valid")[1 - window % 2 :]
+    out[half : n - half] = inner[: n - 2 * half]
+    powers = np.arange(order + 1)
+    out[:half] = ((np.arange(half)[:, None] - centre) ** powers) @ (solve @ y[:window])
+    out[n - half :] = ((np.arange(window - half, window)[:, None] - centre) ** powers) @ (solve @ y[n - window :])
     return out
 
 
