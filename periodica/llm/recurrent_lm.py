@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, bounded, pieces, table, texts
 
 #: Frequent words with weights of their own, words of a class, hidden units, and the steps of one window.
-VOCABULARY, CLASS, HIDDEN, STEPS = 1024, 32, 16, 16
+VOCABULARY, CLASS, HIDDEN, STEPS = 1024, 32, 16, 32
 #: Most frequent words whose counts are sent to every worker; counts of others are joined.
 LOCAL = 50_000
 #: Documents side by side in one batch, and learning rate.
-LANES, RATE, FIRST_SQUARE = 64, 0.1, 1e-7
+LANES, RATE, FIRST_SQUARE = 256, 0.1, 1e-7
+#: Bytes of text that are laid out in lanes at a time.
+PIECE = 6 << 20
 END = b"\n"
 SMOOTH = 0.1
 
@@ -66,9 +68,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Weights by name. Input embeddings are rows of `e` already multiplied into the three gates."""
-
-    SHAPES = {"e": ("w", 3), "u": ("h", 3), "class_w": ("h", "c"), "class_b": ("c",), "word_w": ("v", "h"), "word_b": ("v",)}
+    """Weights by name. Input embeddings are already multiplied into the gates: update and reset in e_zr, the candidate in e_n."""
 
     def __init__(self, counts: np.ndarray, rare: float, seed: int = 3, hidden: int = HIDDEN):
         """counts: of the frequent words, most frequent first; rare: of all others together."""
@@ -82,10 +82,12 @@ class Model:
         bias = np.full(size, -30.0)
         bias[: self.v] = np.log(counts + 1.0)
         self.w = {
-            "e": rng.normal(0, 0.1, (self.v + 2, 3 * hidden)),
-            "u": rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)),
+            "e_zr": rng.normal(0, 0.1, (self.v + 2, 2 * hidden)),
+            "e_n": rng.normal(0, 0.1, (self.v + 2, hidden)),
+            "u_zr": rng.normal(0, hidden**-0.5, (hidden, 2 * hidden)),
+            "u_n": rng.normal(0, hidden**-0.5, (hidden, hidden)),
             "class_w": rng.normal(0, 0.05, (hidden, self.k + 1)),
-            "class_b": np.log(mass / mass.sum()),
+            "class_b": np.log(np.maximum(mass, 1e-3) / max(mass.sum(), 1.0)),
             "word_w": rng.normal(0, 0.05, (size, hidden)),
             "word_b": bias,
         }
@@ -102,30 +104,25 @@ class Model:
     def forward(self, inputs: np.ndarray, state: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, dict]:
         """States after each of the steps (T, B, h) of word ids (T, B), from `state` (B, h), or zero where a document begins."""
         steps, lanes = inputs.shape
-        h, u = self.h, self.w["u"]
-        out, before = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
+        h, u_zr, u_n = self.h, self.w["u_zr"], self.w["u_n"]
+        out, before, kept = (np.empty((steps, lanes, h), np.float32) for _ in range(3))
         begins = fresh.any(axis=1)
-        gates = self.w["e"][inputs]  # (T, B, 3h): update, reset, candidate
-        u_zr, u_n = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-        kept = np.empty((steps, lanes, h), np.float32)
+        gates, candidates = self.w["e_zr"][inputs], self.w["e_n"][inputs]
         for t in range(steps):
-            now = before[t]
+            now, zr, n = before[t], gates[t], candidates[t]
             now[...] = out[t - 1] if t else state
             if begins[t]:
                 now[fresh[t]] = 0
-            g = gates[t]
-            g[:, : 2 * h] += now @ u_zr
-            zr = g[:, : 2 * h]
+            zr += now @ u_zr
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            kept[t] = now @ u_n
-            g[:, 2 * h :] += zr[:, h:] * kept[t]
-            np.tanh(g[:, 2 * h :], out=g[:, 2 * h :])
-            n = g[:, 2 * h :]
+            np.matmul(now, u_n, out=kept[t])
+            n += zr[:, h:] * kept[t]
+            np.tanh(n, out=n)
             out[t] = n + zr[:, :h] * (now - n)
-        return out, {"gates": gates, "kept": kept, "before": before}
+        return out, {"gates": gates, "candidates": candidates, "kept": kept, "before": before}
 
     def output(self, hidden: np.ndarray, target: np.ndarray, grad: bool = False):
         """log P of each target (n,) from hidden states (n, h), a rare word as its class; and gradients if asked."""
@@ -164,7 +161,7 @@ class Model:
     def step(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, fresh: np.ndarray, state: np.ndarray, moment: dict) -> np.ndarray:
         """One window of truncated backpropagation with Adagrad; returns the last state, through which no gradient goes on."""
         steps, lanes = inputs.shape
-        h, u = self.h, self.w["u"]
+        h, u_zr_t, u_n_t = self.h, np.ascontiguousarray(self.w["u_zr"].T), np.ascontiguousarray(self.w["u_n"].T)
         out, seen = self.forward(inputs, state, fresh)
         flat = np.flatnonzero(valid.ravel())
         if not len(flat):
@@ -173,45 +170,43 @@ class Model:
         d_out = np.zeros((steps * lanes, h), np.float32)
         d_out[flat] = back
         d_out = d_out.reshape(steps, lanes, h)
-        d_gates = np.empty((steps, lanes, 3 * h), np.float32)
-        d_u, carry = np.zeros_like(u), np.zeros((lanes, h), np.float32)
+        d_zr, d_n, d_kept = np.empty((steps, lanes, 2 * h), np.float32), np.empty_like(d_out), np.empty_like(d_out)
+        before, gates, n_all = seen["before"], seen["gates"], seen["candidates"]
+        # what each step multiplies the coming gradient with, for all steps at once
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        to_n = (1 - z) * (1 - n_all * n_all)
+        to_z = (before - n_all) * z * (1 - z)
+        to_r = seen["kept"] * r * (1 - r)
+        begins, carry = fresh.any(axis=1), np.zeros((lanes, h), np.float32)
         for t in range(steps - 1, -1, -1):
-            now, g = seen["before"][t], seen["gates"][t]
-            z, r, n = g[:, :h], g[:, h : 2 * h], g[:, 2 * h :]
-            d = d_out[t] + carry
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (now - n) * z * (1 - z)
-            d_r = d_n * seen["kept"][t] * r * (1 - r)
-            d_zr, inner = np.concatenate([d_z, d_r], axis=1), d_n * r
-            d_u[:, : 2 * h] += now.T @ d_zr
-            d_u[:, 2 * h :] += now.T @ inner
-            carry = d * z + d_zr @ u[:, : 2 * h].T + inner @ u[:, 2 * h :].T
-            if fresh[t].any():
+            carry += d_out[t]
+            np.multiply(carry, to_n[t], out=d_n[t])
+            np.multiply(carry, to_z[t], out=d_zr[t, :, :h])
+            np.multiply(d_n[t], to_r[t], out=d_zr[t, :, h:])
+            np.multiply(d_n[t], r[t], out=d_kept[t])
+            carry = carry * z[t] + d_zr[t] @ u_zr_t + d_kept[t] @ u_n_t
+            if begins[t]:
                 carry[fresh[t]] = 0
-            d_gates[t, :, : 2 * h], d_gates[t, :, 2 * h :] = d_zr, d_n
-        grads["u"] = d_u
+        past = before.reshape(-1, h).T
+        grads["u_zr"], grads["u_n"] = past @ d_zr.reshape(-1, 2 * h), past @ d_kept.reshape(-1, h)
         scale = 1 / len(flat)
         for k, x in grads.items():
             x *= scale
             np.clip(x, -0.5, 0.5, out=x)
             moment[k] += x * x
             self.w[k] -= (RATE / 10 if k.endswith("_b") else RATE) * x / np.sqrt(moment[k])  # biases start at the counts' logarithms
-        words, where = np.unique(inputs, return_inverse=True)
-        d_e = np.zeros((len(words), 3 * h), np.float32)
-        _add_rows(d_e, where.ravel(), d_gates.reshape(-1, 3 * h))
-        d_e *= scale
-        moment["e"][words] += d_e * d_e
-        self.w["e"][words] -= RATE * d_e / np.sqrt(moment["e"][words])
+        # embeddings: only the rows of this window's words
+        where = inputs.ravel()
+        order = np.argsort(where, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) > 0]))
+        words = where[order][first]
+        for k, d in (("e_zr", d_zr.reshape(-1, 2 * h)), ("e_n", d_n.reshape(-1, h))):
+            x = np.add.reduceat(d[order], first, axis=0) * scale
+            moment[k][words] += x * x
+            self.w[k][words] -= RATE * x / np.sqrt(moment[k][words])
         return out[-1]
 
 
-def _add_rows(out: np.ndarray, where: np.ndarray, rows: np.ndarray) -> None:
-    """out[where[i]] += rows[i], sorted so that sums are taken over slices."""
-    order = np.argsort(where, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) > 0]))
-    out[where[order][first]] += np.add.reduceat(rows[order], first, axis=0)
-
-
 def lanes_of(documents: list[np.ndarray], start: int, lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple]:
     """Windows (inputs, targets, valid, doc, fresh) over documents laid end to end in parallel lanes.
 
@@ -260,7 +255,7 @@ def train(rows: DataFrame, model: Model, known: dict[bytes, int], rounds: int) -
             own = Model.__new__(Model)
             own.__dict__ |= start.__dict__ | {"w": {k: x.copy() for k, x in start.w.items()}}
             moment, seen = {k: np.full_like(x, FIRST_SQUARE) for k, x in own.w.items()}, 0
-            for batch in pieces(batches, "text", 2 << 20):
+            for batch in pieces(batches, "text", PIECE):
                 documents = [np.minimum(_ids(words_of(x.as_buffer().to_pybytes()), known), own.v) for x in batch.column("text")]
                 state = None
                 for inputs, targets, doc, fresh in lanes_of(documents, own.v + 1):
@@ -305,7 +300,7 @@ def score_documents(documents: DataFrame, vocabulary: int = VOCABULARY, rounds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, base = sent.value
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             raw = [words_of(x.as_buffer().to_pybytes()) for x in batch.column("text")]
             ranks = [_ids(words, known) for words in raw]
             found = [np.minimum(x, model.v) for x in ranks]
