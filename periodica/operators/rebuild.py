@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .spectrum import amplitude_phase
 
 
 def sinusoids(cycles: DataFrame, n: int) -> DataFrame:
@@ -53,6 +54,15 @@ def tail_mse(rows: DataFrame, signal: str, reference: str, start: int) -> DataFr
     return rows.where(F.col("bar_idx") >= start).groupBy("series_id").agg(F.avg((F.col(signal) - F.col(reference)) ** 2).alias("mse"))
 
 
+def reestimated(reference: DataFrame, cycles: DataFrame) -> DataFrame:
+    """cycles with amplitude and phase anew: the transform of reference (series_id, bar_idx, value) at each cycle's frequency from its start on."""
+    rows = reference.select("series_id", "bar_idx", "value").join(F.broadcast(cycles.select(*[F.col(c).alias(c) for c in ("series_id", "cycle_id", "frequency", "start_idx")])), "series_id").where(F.col("bar_idx") >= F.col("start_idx"))
+    angle = 2 * math.pi * F.col("frequency") * (F.col("bar_idx") - F.col("start_idx"))
+    sums = rows.groupBy("series_id", "cycle_id").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
+    amp, phase = amplitude_phase(F.col("re"), F.col("im"))
+    return cycles.drop("amplitude", "phase").join(sums.select("series_id", "cycle_id", amp.alias("amplitude"), phase.alias("phase")), ["series_id", "cycle_id"], "left")
+
+
 def fit_cycles(reference: DataFrame, cycles: DataFrame, fit: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """cycles with best_amplitude, best_frequency, best_phase and loss from fit(reference values, cycles), one group per series.
 

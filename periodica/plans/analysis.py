@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -11,8 +12,16 @@ from ..operators import align, backtest, detrend, kernel, optimize, rebuild, sco
 from .config import AnalysisConfig, Band, DetrendConfig, MultiConfig, ProjectionConfig, SpectrumConfig
 
 
+class _Kept:
+    """Frames that several results read are kept in memory and on disk until released; lost parts are computed anew."""
+
+    def release(self) -> None:
+        for frame in self.kept:
+            frame.unpersist()
+
+
 @dataclass
-class AnalysisResult:
+class AnalysisResult(_Kept):
     """Lazy frames of a single-range analysis."""
 
     window: DataFrame
@@ -21,16 +30,18 @@ class AnalysisResult:
     cycles: DataFrame
     signals: DataFrame
     composite: DataFrame
+    kept: tuple[DataFrame, ...] = ()
     status: str = "ok"
 
 
 @dataclass
-class MultiResult:
+class MultiResult(_Kept):
     cycles: DataFrame
     signals: DataFrame
     composite: DataFrame
     alignment: DataFrame
     scaled: DataFrame
+    kept: tuple[DataFrame, ...] = ()
     status: str = "ok"
 
 
@@ -64,17 +75,18 @@ def analyze(bars: DataFrame, config: AnalysisConfig) -> AnalysisResult:
     window = windowing.fill_null(window, "detrended").withColumn("x", F.col("detrended"))
     if s.kaiser_beta is not None:
         window = spectrum.tapered(window, "x", s.num_samples, s.kaiser_beta).drop("x", "weight").withColumnRenamed("tapered", "x")
+    window = window.persist()
     spec = spectrum.spectrum(window, spectrum.frequency_grid(bars.sparkSession, s.num_samples, s.min_period, s.max_period), "x")
     peaks = spectrum.period_filter(spectrum.spectral_peaks(spec, s.peak_order), s.min_period, s.max_period, s.limit_harmonics)
-    peaks = spectrum.bartels(window, peaks, config.data.column)
+    peaks = spectrum.bartels(window, peaks.persist(), config.data.column)
     up = ["savgol_corr", "derivative_corr", "scaled_amplitude"]
     if s.bartels_threshold > 0:
         peaks, up = peaks.where(F.col("bartels_score") >= s.bartels_threshold), ["bartels_score", *up]
     peaks = score.global_score(score.scored(window, peaks), up, ["phase_rmse", "peak_ratio"])
     starts = window.groupBy("series_id").agg(F.min("start_idx").alias("start_idx"))
-    cycles = score.dominant(peaks, config.projection.cycles, config.projection.rank_by).join(starts, "series_id").withColumn("cycle_id", F.col("k"))
+    cycles = score.dominant(peaks, config.projection.cycles, config.projection.rank_by).join(starts, "series_id").withColumn("cycle_id", F.col("k")).persist()
     signals = rebuild.sinusoids(cycles, s.num_samples)
-    return AnalysisResult(window, spec, peaks, cycles, signals, rebuild.composite(signals))
+    return AnalysisResult(window, spec, peaks, cycles, signals, rebuild.composite(signals), (window, cycles))
 
 
 FITS = {
@@ -94,24 +106,30 @@ def analyze_bands(bars: DataFrame, config: MultiConfig) -> MultiResult:
         bars = windowing.as_of_cut(bars, config.as_of)
     known = bars.sparkSession.createDataFrame([(i, b.num_samples, b.cycles, float(b.min_period), float(b.max_period), float(b.hp_lambda), b.lambda_min) for i, b in enumerate(config.bands)], "band int, num_samples int, cycles int, min_period double, max_period double, hp_lambda double, lambda_min double")
     bars = windowing.protective_cut(bars, known)
-    parts, windows = [], []
+    parts, windows, kept = [], [], []
     for i, b in enumerate(config.bands):
         d = replace(config.detrend, hp_lambda=b.hp_lambda, hp_lambda_min=b.lambda_min)
         one = analyze(bars, AnalysisConfig(detrend=d, spectrum=SpectrumConfig(b.num_samples, b.min_period, b.max_period), projection=ProjectionConfig(b.cycles)))
         parts.append(one.cycles.withColumn("band", F.lit(i)))
         windows.append(one.window)
+        kept += one.kept
     # positions are comparable: all bands share the cut frame
     cycles = parts[0]
     for p in parts[1:]:
         cycles = cycles.unionByName(p)
     cycles = cycles.withColumn("cycle_id", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("period"), "band", "k")).cast("long"))
     best = max(range(len(config.bands)), key=lambda i: (config.bands[i].num_samples if config.reference == "longest" else config.bands[i].hp_lambda, -i))
-    reference = windowing.minmax(windows[best].select("series_id", "bar_idx", "x"), "x", -100.0, 100.0).select("series_id", "bar_idx", F.col("scaled").alias("value"))
-    fitted = rebuild.fit_cycles(reference, cycles, FITS[config.fit](config.search))
+    longest = windows[best].select("series_id", "bar_idx", "x")
+    if config.smooth_reference:
+        width = max(3, int(config.bands[best].min_period / 2) | 1)
+        longest = kernel.savgol(longest, "x", width).withColumnRenamed("smoothed", "x")
+    reference = windowing.minmax(longest, "x", -100.0, 100.0).select("series_id", "bar_idx", F.col("scaled").alias("value"))
+    cycles = rebuild.reestimated(reference, cycles)
+    fitted = rebuild.fit_cycles(reference, cycles, FITS[config.fit](config.search)).persist()
     signals = rebuild.sinusoids(fitted, max(b.num_samples for b in config.bands))
     whole = rebuild.composite(signals)
     scaled = windowing.minmax(whole, "composite", -100.0, 100.0)
-    return MultiResult(fitted, signals, whole, align.alignment(signals), scaled)
+    return MultiResult(fitted, signals, whole, align.alignment(signals), scaled, (*kept, fitted))
 
 
 def min_max_features(rows: DataFrame, column: str, as_of: DataFrame, count: int) -> DataFrame:
@@ -152,3 +170,35 @@ def hyper_search(bars: DataFrame, candidates: list[Band], dates: list[str], conf
             part = backtest.fold(trades).select(F.lit(i).alias("candidate"), "series_id", (-F.col("pl_sum")).alias("fitness"))
         out = part if out is None else out.union(part)
     return out.orderBy("fitness", "candidate", "series_id")
+
+
+def evolve_bands(bars: DataFrame, dates: list[str], config: MultiConfig, population: int = 6, generations: int = 2, seed: int = 5) -> DataFrame:
+    """Hyper-parameter search by generations: one Spark job over candidates and dates each, one history row per candidate and series.
+
+    The better half of a generation lives on; children take each setting from one of two parents and shift it by up to a fifth.
+    """
+    rng, best = random.Random(seed), config.bands[0]
+
+    def shifted(b: Band) -> Band:
+        move = lambda x, low: max(low, x * rng.uniform(0.8, 1.25))
+        return replace(b, min_period=move(b.min_period, 4.0), max_period=move(b.max_period, 10.0), hp_lambda=move(b.hp_lambda, 1.0), cycles=max(1, b.cycles + rng.choice((-1, 0, 1))))
+
+    pool, history = [best, *[shifted(best) for _ in range(population - 1)]], None
+    for g in range(generations):
+        found = hyper_search(bars, pool, dates, config).withColumn("generation", F.lit(g))
+        settings = bars.sparkSession.createDataFrame([(i, b.num_samples, b.cycles, float(b.min_period), float(b.max_period), float(b.hp_lambda)) for i, b in enumerate(pool)], "candidate int, num_samples int, cycles int, min_period double, max_period double, hp_lambda double")
+        found = found.join(F.broadcast(settings), "candidate")
+        history = found if history is None else history.unionByName(found)
+        order = [r[0] for r in found.groupBy("candidate").agg(F.avg("fitness").alias("f")).orderBy("f", "candidate").collect()]  # one row per candidate
+        alive = [pool[i] for i in order[: max(2, population // 2)]]
+        pool = list(alive)
+        while len(pool) < population:
+            a, b = rng.sample(alive, 2)
+            pool.append(shifted(replace(a, min_period=b.min_period) if rng.random() < 0.5 else replace(a, hp_lambda=b.hp_lambda)))
+    return history
+
+
+def plot_frame(bars: DataFrame, result: MultiResult) -> DataFrame:
+    """What a chart of a multi-range analysis shows, in long form: close, composite and alignment, each scaled to [-100, 100]."""
+    parts = [windowing.minmax(df.select("series_id", "bar_idx", F.col(c).alias("value")), "value", -100.0, 100.0).select("series_id", "bar_idx", F.lit(name).alias("line"), F.col("scaled").alias("value")) for name, df, c in (("close", bars, "close"), ("composite", result.composite, "composite"), ("alignment", result.alignment, "alignment"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

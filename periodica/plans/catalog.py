@@ -448,6 +448,15 @@ def scale_lsq(spark, sf_dir):
     return _r(rebuild.scaled_to(rows, "composite", "x", 64).select("series_id", "bar_idx", "fitted"), 5)
 
 
+@query(f"""WITH c AS (SELECT series_id, k, frequency, start_idx + 32 AS s FROM top JOIN (SELECT DISTINCT series_id, start_idx FROM win) USING (series_id)),
+    t AS (SELECT series_id, k, sum(x * cos({PI2} * frequency * (bar_idx - s))) AS re, -sum(x * sin({PI2} * frequency * (bar_idx - s))) AS im FROM wx JOIN c USING (series_id) WHERE bar_idx >= s GROUP BY ALL)
+    SELECT series_id, k AS cycle_id, round(2 * sqrt(re * re + im * im), 5) AS amplitude, round(pi() / 2 + atan2(im, re), 5) AS phase FROM t""", "top")
+def reestimated_cycles(spark, sf_dir):
+    reference = _win(spark, sf_dir).select("series_id", "bar_idx", F.col("x").alias("value"))
+    cycles = _cycles(spark, sf_dir).withColumn("start_idx", F.col("start_idx") + 32)
+    return _r(rebuild.reestimated(reference, cycles).select("series_id", "cycle_id", "amplitude", "phase"), 5)
+
+
 # calendar
 
 
@@ -609,6 +618,17 @@ def features_by_date(spark, sf_dir):
     return _r(analysis.features_for_dates(_bars(spark, sf_dir), ["2024-01-18 12:00:00", AS_OF], None, MULTI), 5)
 
 
+@query()
+def plot_lines(spark, sf_dir):
+    b = _bars(spark, sf_dir)
+    return _r(analysis.plot_frame(b, analysis.analyze_bands(b, MULTI)), 5)
+
+
+@query()
+def hyper_generations(spark, sf_dir):
+    return _r(analysis.evolve_bands(_bars(spark, sf_dir), [AS_OF], MultiConfig(bands=(Band(96, 1, 8, 20, 65.0),)), population=3, generations=2), 5)
+
+
 @query()
 def hyper_search(spark, sf_dir):
     return _r(analysis.hyper_search(_bars(spark, sf_dir), [Band(N, 2, 16, 40, 1600.0), Band(N, 2, 30, 40, 1600.0), Band(96, 1, 8, 16, 65.0)], [AS_OF], MULTI), 5)

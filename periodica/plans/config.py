@@ -87,6 +87,7 @@ class MultiConfig:
     fit: str = "algebraic"
     search: SearchConfig = field(default_factory=SearchConfig)
     reference: str = "longest"
+    smooth_reference: bool = False
     as_of: str | None = None
 
     def __post_init__(self) -> None:

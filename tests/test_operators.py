@@ -221,3 +221,25 @@ def test_streamed_bars_are_the_batch_ones(spark, tmp_path):
     got = {(str(r["ts"]), r["close"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(str(r["ts"]), r["close"]) for r in batch.collect()}
     assert got and got <= want and len(want) - len(got) <= 4  # the last hours wait for the watermark
+
+
+def test_log_events_are_read_back(spark, tmp_path):
+    import logging
+
+    from periodica.sources import logs
+
+    log = logs.RunLog("r1", logging.FileHandler(tmp_path / "run.jsonl"), "INFO")
+    log.event("INFO", "fit", "fit_cycles", "done", 0.5, ticker="s", loss=1.25)
+    log.event("DEBUG", "fit", "fit_cycles", "hidden")
+    with pytest.raises(ValueError):
+        log.event("INFO", "nothing", "f", "m")
+    rows = logs.read(spark, str(tmp_path / "run.jsonl")).collect()
+    assert len(rows) == 1 and rows[0]["context"] == {"loss": "1.25"} and rows[0]["elapsed_seconds"] == 0.5
+
+
+def test_reestimation_recovers_amplitude_and_phase(spark):
+    i = np.arange(60)
+    ref = spark.createDataFrame([("s", int(t), float(3 * np.sin(2 * np.pi * 0.1 * (t - 20) + 0.7))) for t in i], "series_id string, bar_idx long, value double")
+    cyc = spark.createDataFrame([("s", 1, 0.1, 20, 0.0, 0.0)], "series_id string, cycle_id long, frequency double, start_idx long, amplitude double, phase double")
+    r = rebuild.reestimated(ref, cyc).first()
+    assert math.isclose(r["amplitude"], 3 * 40, rel_tol=1e-9) and math.isclose(r["phase"], 0.7, abs_tol=1e-9)
