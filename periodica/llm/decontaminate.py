@@ -84,7 +84,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     hits = table(hits)
     held = maybe(rows, "doc_id", sketch(hits, "doc_id")).where("maybe").select("doc_id", "text")
     held = hits.select("doc_id", "i", "length").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("i", "length")).alias("at")).join(held, "doc_id")
-    held = held.withColumn("w", tokens(F.col("text"))).select("doc_id", F.expr("transform(at, x -> struct(x.i, x.length, transform(sequence(0, x.length - 1), n -> get(w, x.i + n)) as seen))").alias("at"))
+    # the tokens are bound to a lambda's variable: a column that is named once inside a lambda is computed anew for each element
+    seen_at = "transform(ws, w -> transform(at, x -> struct(x.i, x.length, transform(sequence(0, x.length - 1), n -> get(w, x.i + n)) as seen)))[0]"
+    held = held.withColumn("ws", F.array(tokens(F.col("text")))).select("doc_id", F.expr(seen_at).alias("at"))
     seen = held.select("doc_id", F.explode_outer("at").alias("at")).select("doc_id", "at.*")  # outer, as above
     pairs = hits.join(seen, ["doc_id", "i", "length"]).join(asked.select("item_id", "j", "length", "values", "shape"), ["item_id", "j", "length"])
     slots = F.expr("transform(filter(arrays_zip(shape, values, seen), z -> z.shape like '\x01%'), z -> struct(z.shape as shape, lower(z.values) as a, lower(z.seen) as b))")
