@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces, table
+from .common import bounded, maybe, pieces, sketch, table
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -115,14 +115,24 @@ def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _scan(rows: DataFrame, anchors: Anchors, filters=None) -> DataFrame:
-    """The runs of every text: key, label, doc_id, first, n, lead, times, context.
+def _keys(rows: DataFrame, anchors: Anchors) -> DataFrame:
+    """key of every run of every text."""
 
-    label hashes the whole run. lead: first run of that key and label in its text; times: their number there.
-    Without filters only leads are given, without context. With filters (broadcast bitmaps of repeated and
-    of varied keys), all runs with a repeated key, and leads with a varied key have their units as context.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found = [anchors.runs(Units(x.as_buffer().to_pybytes(), anchors.words))[0] for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], ["key"])
+
+    bounded(rows.sparkSession)
+    return rows.select("text").mapInArrow(run, "key long")
+
+
+def _scan(rows: DataFrame, anchors: Anchors, bits) -> DataFrame:
+    """The runs whose key may be repeated, by the broadcast bitmap: key, label, doc_id, first, n, lead.
+
+    label hashes the whole run; lead marks the first run of its key and label in its text.
     """
-    schema = "key long, label long, doc_id long, first int, n int, lead boolean, times int, context binary"
+    schema = "key long, label long, doc_id long, first int, n int, lead boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -130,31 +140,41 @@ def _scan(rows: DataFrame, anchors: Anchors, filters=None) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 units = Units(text.as_buffer().to_pybytes(), anchors.words)
                 key, first, n = anchors.runs(units)
-                if filters is not None and len(key):
-                    some = _inside(filters.value[0], key)
-                    key, first, n = key[some], first[some], n[some]
+                some = _inside(bits.value, key)
+                key, first, n = key[some], first[some], n[some]
                 if not len(key):
                     continue
-                whole = [units.slice(a, b) for a, b in zip(first.tolist(), (n + anchors.width - 1).tolist(), strict=True)]
-                label = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(whole)).view(np.int64)
-                _, at, inverse, times = np.unique(np.stack([key, label]), axis=1, return_index=True, return_inverse=True, return_counts=True) if len(key) > 1 else (0, np.zeros(1, int), np.zeros(1, int), np.ones(1, int))
+                whole = (units.slice(a, b) for a, b in zip(first.tolist(), (n + anchors.width - 1).tolist(), strict=True))
+                label = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(key)).view(np.int64)
                 lead = np.zeros(len(key), bool)
-                lead[at] = True
-                times = times[inverse.reshape(-1)]
-                if filters is None:
-                    out.append((key[lead], label[lead], np.full(len(at), doc), first[lead], n[lead], lead[lead], times[lead], [None] * len(at)))
-                else:
-                    varied = (_inside(filters.value[1], key) & lead).tolist()
-                    out.append((key, label, np.full(len(key), doc), first, n, lead, times, [x if y else None for x, y in zip(whole, varied, strict=True)]))
+                lead[np.unique(key * np.int64(0x9E3779B1) ^ label, return_index=True)[1]] = True
+                out.append((key, label, np.full(len(key), doc), first, n, lead))
             if out:
-                key, label, doc, first, n, lead, times = (np.concatenate(x) for x in zip(*(x[:7] for x in out), strict=True))
-                context = pa.array([y for x in out for y in x[7]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(label), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(lead), pa.array(times, pa.int32()), context], [x.split()[0] for x in schema.split(", ")])
+                key, label, doc, first, n, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(label), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(lead)], [x.split()[0] for x in schema.split(", ")])
 
     bounded(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
+def _contexts(rows: DataFrame, anchors: Anchors, runs: DataFrame) -> DataFrame:
+    """runs (key, labels, doc_id, first, n) with their units as context; only texts that have some are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            out = []
+            for doc, text, asked in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "asked")), strict=True):
+                units = Units(text.encode(), anchors.words)
+                out += [(x["key"], x["labels"], doc, x["first"], x["n"], units.slice(x["first"], x["n"] + anchors.width - 1)) for x in asked]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "labels", "doc_id", "first", "n", "context"])
+
+    asked = table(runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "labels", "first", "n")).alias("asked")))
+    some = maybe(rows, "doc_id", sketch(asked, "doc_id")).where("maybe").select("doc_id", "text")
+    bounded(rows.sparkSession)
+    return some.join(asked, "doc_id").mapInArrow(run, "key long, labels long, doc_id long, first int, n int, context binary")
+
+
 def repeated_runs(rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFrame]:
     """For rows (doc_id, text), one per doc_id: whole runs with an earlier copy, and the first copies that may hold repeated windows.
 
@@ -162,20 +182,18 @@ def repeated_runs(rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFra
     Second: key, labels (of the key), doc_id, first, n, context: the first copy of each run whose anchor has different runs too.
     A window whose first occurrence is not in the second result occurs in its own run's copies only.
 
-    First pass: which keys come more than once, and with different labels: an aggregate by key.
-    Second pass: only runs with such keys (and a few that the filters let through) are shuffled.
+    First pass: which keys come more than once. Second pass: only runs with such keys (and a few that
+    the filter lets through) are shuffled. The units of runs are fetched last, for first copies alone.
     """
     spark = rows.sparkSession
-    keys = _scan(rows, anchors).groupBy("key").agg(F.sum("times").alias("times"), F.min("label").alias("least"), F.max("label").alias("most")).where("times > 1")
-    keys = table(keys.select("key", F.expr("least <> most").alias("varied")))
-    filters = spark.sparkContext.broadcast((_bits(keys), _bits(keys.where("varied"))))
-    found = table(_scan(rows, anchors, filters))
-    firsts = found.groupBy("key", "label").agg(F.min("doc_id").alias("source_doc"), F.expr("min_by(first, doc_id) FILTER (WHERE lead)").alias("source_first"), F.count("*").alias("copies"))
+    keys = table(_keys(rows, anchors).groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
+    found = table(_scan(rows, anchors, spark.sparkContext.broadcast(_bits(keys))))
+    firsts = found.groupBy("key", "label").agg(F.min("doc_id").alias("source_doc"), F.expr("min_by(first, doc_id) FILTER (WHERE lead)").alias("source_first"), F.max("n").alias("n"), F.count("*").alias("copies"))
     firsts = table(firsts)
-    moved = found.drop("context").join(firsts.where("copies > 1"), ["key", "label"]).where("doc_id <> source_doc OR first <> source_first")
+    moved = found.join(firsts.where("copies > 1").drop("n"), ["key", "label"]).where("doc_id <> source_doc OR first <> source_first")
     several = firsts.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1")
-    varied = found.where("lead AND context IS NOT NULL").join(firsts.select("key", "label", "source_doc", "source_first"), ["key", "label"]).where("doc_id = source_doc AND first = source_first")
-    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), varied.join(several, "key").select("key", "labels", "doc_id", "first", "n", "context")
+    varied = firsts.join(several, "key").select("key", "labels", F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n")
+    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), _contexts(rows, anchors, varied)
 
 
 def opened(runs: DataFrame, anchors: Anchors) -> DataFrame:
@@ -198,6 +216,9 @@ def opened(runs: DataFrame, anchors: Anchors) -> DataFrame:
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """doc_id, first, source_doc, source_first of the windows (h1, h2) that are not the first of their kind."""
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("source"), F.count("*").alias("copies")).where("copies > 1")
+    """doc_id, first, source_doc, source_first of the windows (h1, h2) that are not the first of their kind.
+
+    The first ones are written before the join: both of its sides are then exchanged for it, and a hot window's rows can be split.
+    """
+    firsts = table(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("source"), F.count("*").alias("copies")).where("copies > 1"))
     return windows.join(firsts, ["h1", "h2"]).select("doc_id", "first", F.col("source.doc_id").alias("source_doc"), F.col("source.first").alias("source_first")).where("doc_id <> source_doc OR first <> source_first")
