@@ -1,7 +1,8 @@
-"""SimHash near-dedup: multi-index hashing with small Hamming balls per segment."""
+"""SimHash near-dedup by multi-index hashing with small Hamming balls per segment, and exact near-dedup by shingle prefixes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
+from .common import LOWER, NO_ID, SKETCH_BITS, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
 
 SEED = 42
 
@@ -144,18 +145,79 @@ def _shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def _sets(rows: DataFrame, words: int, features: int) -> DataFrame:
-    """doc_id, the fingerprint of the distinct `features`-word runs, and a hash of the set of `words`-word shingles."""
+#: Every so many-th document is looked at for common shingles, which are those in so many of them.
+LOOK, COMMON = 16, 3
+
+
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """A bitmap of fixed size over the first bits of shingles that are common in a sample: it only orders shingles, and so decides no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            whole = [x.as_buffer().to_pybytes() for x in batch.column("text")]
-            fp = [majority(np.unique(shingle_hashes(x, features))) for x in whole]
-            content = [xxhash.xxh3_128_digest(_shingle_set(x, words).tobytes()) for x in whole]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(content, pa.binary())], ["doc_id", "fp", "content"])
+            found = [_shingle_set(x.as_buffer().to_pybytes(), words).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
 
     bounded(rows.sparkSession)
-    return rows.mapInArrow(run, "doc_id long, fp long, content binary")
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0).select("text").mapInArrow(run, "s long")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - SKETCH_BITS}) & 63 as int))")
+    word = F.shiftrightunsigned("s", 64 - SKETCH_BITS + 6).cast("int")
+    got = some.groupBy("s").count().where(f"count >= {COMMON}").select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return bitmap.view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, bitmap: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the shingles, ordered by (common, hash): two sets of at least that Jaccard similarity share one of these.
+
+    Both sets hold `similarity` of the larger one's shingles in common, so the first common one is not further back.
+    """
+    at = shingles >> np.uint64(64 - SKETCH_BITS)
+    common = (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    n = len(shingles)
+    return np.concatenate([shingles[~common], shingles[common]])[: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, a hash of the set of `words`-word shingles, the set's size n, and its prefix."""
+    sent = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for batch in pieces(batches, "text"):
+            sets = [_shingle_set(x.as_buffer().to_pybytes(), words) for x in batch.column("text")]
+            content = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            first = [prefix(x, bitmap, similarity).view(np.int64) for x in sets]
+            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            columns = [batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "n", "prefix"])
+
+    return rows.mapInArrow(run, "doc_id long, content binary, n int, prefix array<long>")
+
+
+def prefix_links(sets: DataFrame, similarity: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of ids of `sets` (id, n, prefix) that span the same components as all pairs of at least that Jaccard similarity.
+
+    Candidates share a shingle of their prefixes, at places that leave room for the overlap the similarity
+    asks for: the pair's first common shingle always does, so that none is missed. `check` verifies them. As
+    in `links`, every document is first compared with one pivot of each shingle, the least id; then only
+    pairs from different components are left.
+    """
+    places = table(sets.select("id", "n", F.posexplode("prefix").alias("pos", "s")))
+    pivots = table(places.groupBy("s").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "pos")).alias("p")).where("many > 1").select("s", "p.*"))
+    shared = maybe(places, "s", sketch(pivots, "s")).where("maybe").drop("maybe")
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select("s", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "s"])
+
+    room = F.expr(f"least(a_n - a_pos, b_n - b_pos) * {1 + similarity}D >= {similarity}D * (a_n + b_n) - 1e-6D")
+    star = named(shared, "a").join(named(pivots, "b"), "s").where((F.col("a_id") != F.col("b_id")) & room)
+    star = table(check(table(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())))
+    label = components(star).withColumnRenamed("node", "id")
+    marked = table(shared.join(pivots.select("s"), "s", "left_semi").join(label, "id", "left").select("id", "n", "pos", "s", F.coalesce("component", "id").alias("c")))
+    rest = named(marked, "a").join(named(marked, "b"), "s").where((F.col("a_id") > F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & room)
+    rest = check(table(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
+    return star.union(rest)
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -182,22 +244,21 @@ def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 8, segment_count: int = 5) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group) of every document.
 
-    Two documents are linked if their fingerprints are within `distance` and their sets of `words`-word
-    shingles have a Jaccard similarity of at least `similarity`. Fingerprints are taken of distinct
-    `features`-word runs: they move less than those of five words under a few edits, so that a small
-    ball reaches pairs down to the threshold. Documents without words form one group. Of rows that
-    repeat a doc_id the one with the least text counts; a null doc_id comes out null and in a group of its own
-    text. An empty table gives no rows.
+    Two documents are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
+    `similarity`; every such pair is found, by a prefix filter, and counted exactly. Documents without
+    words form one group. Of rows that repeat a doc_id the one with the least text counts; a null doc_id
+    comes out null and in a group of its own text. An empty table gives no rows.
     """
     rows = one_per_id(documents)
-    each = table(_sets(rows, words, features))
-    nodes = table(each.groupBy("fp", "content").agg(F.min("doc_id").alias("id")))
-    label = components(links(nodes.select("id", "fp"), distance, segment_count, lambda pairs: _similar(pairs, rows, words, similarity)))
-    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", "content", F.coalesce("component", "id").alias("component"))
-    found = each.join(named, ["fp", "content"])
+    each = table(_sets(rows, words, similarity))
+    nodes = table(each.groupBy("content").agg(F.min("doc_id").alias("id")))
+    sets = each.withColumnRenamed("doc_id", "id").join(nodes.select("id"), "id", "left_semi").select("id", "n", "prefix")
+    label = components(prefix_links(sets, similarity, lambda pairs: _similar(pairs, rows, words, similarity)))
+    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("content", F.coalesce("component", "id").alias("component"))
+    found = each.select("doc_id", "content").join(named, "content")
     null = lambda c: F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c)
     return found.select("doc_id", F.col("component").alias("component_id")).select(null("doc_id"), null("component_id"))
 

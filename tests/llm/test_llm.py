@@ -206,6 +206,24 @@ def test_near_copies_are_grouped_and_others_are_not(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7]
 
 
+def test_every_pair_at_the_threshold_is_grouped(spark):
+    r = random.Random(5)
+    rows, sets = [], {}
+    for k in range(40):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(r.choice([60, 200]))]
+        cut = base[: -round(len(base) * r.uniform(0.1, 0.24))]  # similarities around 0.8
+        edited = [w if r.random() > 0.03 else "edited" for w in base]
+        rows += [(1000 - 3 * k - i, " ".join(x), "a") for i, x in enumerate((base, cut, edited))]
+    for d, t, _ in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = brute_components(sets, linked)
+    assert 60 < len(set(want.values())) < 110
+    got = as_dict(simhash.near_duplicates(table(spark, rows)))
+    assert {d: x.component_id for d, x in got.items()} == want
+
+
 def test_components_of_a_star_and_a_path(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(50)]
     got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
