@@ -17,25 +17,23 @@ from .common import maybe, one_per_id, sketch, table
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons dollar dollars euro euros cent cents usd eur gbp percent degree degrees celsius fahrenheit kmh mph".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 TOKEN = r"[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+"
-#: Tokens of a window; of them, at least so many must not be placeholders; the benchmark's windows are broadcast up to so many.
+#: Tokens of a window; a window with at least so many that are no placeholders is evidence by itself; the benchmark's windows are broadcast up to so many.
 WINDOW, LITERALS, BROADCAST = 10, 5, 200_000
+#: Tokens of an item whose windows, all found, are evidence together.
+WHOLE = 5
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def template(words: Column) -> Column:
-    """Each token's lower case or placeholder. A word of a capital and small letters counts as a name, also where a sentence begins: its value is compared then."""
+def template(words: Column, names: bool = True) -> Column:
+    """Each token's lower case or placeholder. A word of a capital and small letters counts as a name, also where a sentence begins: its value is compared then. Without `names` only numbers and units have placeholders."""
 
     def place(x: Column) -> Column:
         low = F.lower(x)
-        return (
-            F.when(x.rlike("^[0-9]") | low.isin(NUMBERS), "\x01number")
-            .when(low.isin(UNITS), "\x01unit")
-            .when(x.rlike(r"^\p{Lu}\p{Ll}"), "\x01name")
-            .otherwise(low)
-        )
+        kind = F.when(x.rlike("^[0-9]") | low.isin(NUMBERS), "\x01number").when(low.isin(UNITS), "\x01unit")
+        return (kind.when(x.rlike(r"^\p{Lu}\p{Ll}"), "\x01name") if names else kind).otherwise(low)
 
     return F.transform(words, place)
 
@@ -47,27 +45,30 @@ def _windows(length: int) -> Column:
     return F.when(count > 0, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """item_id, j, length, h, values of every window that has enough literal tokens; a short item is one window of its own length."""
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, j, length, h, values, shape, literals, size of every window with a literal token; a short item is one window of its own length."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.coalesce("text", F.lit(""))).alias("w"))
     items = items.withColumn("t", template(F.col("w"))).where("size(w) > 0")
     items = items.withColumn("length", F.least(F.size("w"), F.lit(window))).withColumn("k", F.transform("t", lambda x: F.xxhash64(x)))
     hashes = F.coalesce(*[F.when(F.col("length") == n, _windows(n)) for n in range(1, window + 1)])
-    items = items.select("item_id", "w", "t", "length", F.posexplode_outer(hashes).alias("j", "h"))
-    items = items.where(F.size(F.filter(F.slice(F.col("t"), F.col("j") + 1, F.col("length")), lambda x: ~x.startswith("\x01"))) >= F.least(F.lit(literals), F.col("length") - 1))
-    return items.select("item_id", "j", "length", "h", F.slice(F.col("w"), F.col("j") + 1, F.col("length")).alias("values"), F.slice(F.col("t"), F.col("j") + 1, F.col("length")).alias("shape"))
+    items = items.select("item_id", "w", "t", "length", F.size("w").alias("size"), F.posexplode_outer(hashes).alias("j", "h"))
+    items = items.withColumn("shape", F.slice(F.col("t"), F.col("j") + 1, F.col("length"))).withColumn("literals", F.size(F.filter("shape", lambda x: ~x.startswith("\x01"))))
+    return items.where("literals > 0").select("item_id", "j", "length", "h", F.slice(F.col("w"), F.col("j") + 1, F.col("length")).alias("values"), "shape", "literals", "size")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """doc_id, item_id, n_windows, verbatim: documents that hold a benchmark item's template with consistent values.
 
+    Evidence at one alignment is a window with `literals` literal tokens (of a short item, all but one), or a window
+    without a differing value, or all windows of an item of WHOLE tokens; windows without a literal token are
+    not matched. Values must map one to one.
+
     n_windows counts the item's windows found at one alignment; verbatim: no placeholder's value differs.
-    Items shorter than a window are matched whole; items and windows of placeholders alone are not
-    matched. Null texts are empty and match nothing, rows that repeat a doc_id count as one (with the least text), a
-    null doc_id gives a null. Empty tables give no rows.
+    Items shorter than a window are matched whole. Null texts are empty and match nothing, rows that repeat a doc_id
+    count as one (with the least text), a null doc_id gives a null. Empty tables give no rows.
     """
     rows = one_per_id(documents)
-    asked = table(benchmark_windows(benchmark, window, literals))
+    asked = table(benchmark_windows(benchmark, window))
     lengths = [r[0] for r in asked.select("length").distinct().orderBy("length").collect()]  # 1 to `window`
     keys = asked.groupBy("h", "length").agg(F.collect_list(F.struct("item_id", "j")).alias("at"))
     if asked.count() <= BROADCAST:
@@ -88,12 +89,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     seen_at = "transform(ws, w -> transform(at, x -> struct(x.i, x.length, transform(sequence(0, x.length - 1), n -> get(w, x.i + n)) as seen)))[0]"
     held = held.withColumn("ws", F.array(tokens(F.col("text")))).select("doc_id", F.expr(seen_at).alias("at"))
     seen = held.select("doc_id", F.explode_outer("at").alias("at")).select("doc_id", "at.*")  # outer, as above
-    pairs = hits.join(seen, ["doc_id", "i", "length"]).join(asked.select("item_id", "j", "length", "values", "shape"), ["item_id", "j", "length"])
-    slots = F.expr("transform(filter(arrays_zip(shape, values, seen), z -> z.shape like '\x01%'), z -> struct(z.shape as shape, lower(z.values) as a, lower(z.seen) as b))")
-    pairs = pairs.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", F.explode_outer(slots).alias("slot"))
-    matched = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("j").alias("n_windows"), F.collect_set("slot").alias("slots"))
-    n = "size(array_distinct(transform(slots, z -> struct(z.shape, z.{0}))))"
-    matched = matched.where(f"{n.format('a')} = size(slots) AND {n.format('b')} = size(slots)").withColumn("verbatim", F.expr("forall(slots, z -> z.a = z.b)"))
+    pairs = hits.join(seen, ["doc_id", "i", "length"]).join(asked, ["item_id", "j", "length"])
+    places = F.expr("transform(arrays_zip(shape, values, seen), (z, n) -> struct(j + n as p, if(z.shape like '\x01%', z.shape, '') as shape, lower(z.values) as a, lower(z.seen) as b))")
+    pairs = pairs.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "size", "literals", "length", places.alias("places"))
+    least = F.least(F.lit(literals), F.col("length") - 1)
+    same = F.expr("forall(places, z -> z.shape = '' OR z.a = z.b)")
+    pairs = pairs.withColumn("rich", F.col("literals") >= least).withColumn("same", same)
+    whole = asked.groupBy("item_id").agg(F.count("*").alias("all"))
+    matched = pairs.groupBy("doc_id", "item_id", "shift").agg(
+        F.countDistinct("j").alias("n_windows"), F.max("rich").alias("rich"), F.max("same").alias("same"), F.first("size").alias("size"), F.collect_set("places").alias("places")
+    ).join(F.broadcast(whole), "item_id")
+    matched = matched.withColumn("places", F.expr("array_sort(array_distinct(flatten(places)))"))  # by p
+    matched = matched.withColumn("slots", F.expr("array_distinct(transform(filter(places, z -> z.shape <> ''), z -> struct(z.shape, z.a, z.b)))"))
+    for side in "ab":
+        matched = matched.withColumn(f"twice_{side}", F.expr(f"transform(slots, z -> struct(z.shape, z.{side} as x))"))
+        matched = matched.withColumn(f"twice_{side}", F.expr(f"filter(array_distinct(twice_{side}), x -> size(filter(twice_{side}, y -> y = x)) > 1)"))
+    clashes = "filter(slots, z -> z.a <> z.b AND (array_contains(twice_a, struct(z.shape, z.a as x)) OR array_contains(twice_b, struct(z.shape, z.b as x))))"
+    matched = matched.withColumn("clashes", F.expr(clashes))
+    evidence = f"(rich OR same OR (n_windows = all AND size >= {WHOLE}))"
+    matched = matched.where(f"size(clashes) = 0 AND {evidence}")
+    matched = matched.withColumn("verbatim", F.expr("forall(slots, z -> z.a = z.b)"))
     best = matched.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("verbatim").alias("verbatim"))
     return best.select(F.expr("nullif(doc_id, -9223372036854775808L)").alias("doc_id"), "item_id", "n_windows", "verbatim")
 

@@ -267,6 +267,16 @@ def test_leaks_and_new_parameters_are_found(spark):
     assert sorted(r.doc_id for r in decontaminate.keep_uncontaminated(docs, bench).collect()) == [3, 4, 5, 7]
 
 
+def test_leaks_dense_in_numbers_and_names_are_found(spark):
+    items = ["Alice ran 5 km in 30 minutes and Bob ran 8 km in 40 minutes.", "What is 7 times 8?", "How many minutes are in 3 hours?", "Convert 25 degrees Celsius to degrees Fahrenheit.", "What is 12 + 34 + 56 + 78 + 90?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    fill = " ".join(prose(1, 40)).lower()
+    other = ["Carol ran 6 km in 20 minutes and Dave ran 9 km in 45 minutes.", "What is 3 times 4?", "How many hours are in 9 days?", "Convert 70 degrees Celsius to degrees Fahrenheit.", "What is 1 + 2 + 3 + 4 + 5?"]
+    docs = table(spark, [(10 * k + i, f"{fill} {x} {fill}", "a") for k, xs in enumerate((items, other)) for i, x in enumerate(xs)] + [(99, f"{fill} Anna ran 5 km and 3 apples", "a")])
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(10 * k + i, i): not k for k in range(2) for i in range(5)}
+
+
 # 6
 
 
