@@ -2,7 +2,7 @@
 
 A text becomes a sequence of tokens; numbers, names and units become typed placeholders. Windows of this
 template are joined by hash with those of the benchmark, and the values behind the placeholders must
-map one to one along the match: the same question with other numbers or names is caught, a chance match
+map one to one along the match, or clash little against what agrees: the same question with other numbers or names is caught, a chance match
 of the template is not.
 """
 
@@ -19,8 +19,8 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 TOKEN = r"[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+"
 #: Tokens of a window; a window with at least so many that are no placeholders is evidence by itself; the benchmark's windows are broadcast up to so many.
 WINDOW, LITERALS, BROADCAST = 10, 5, 200_000
-#: Tokens of an item whose windows, all found, are evidence together.
-WHOLE = 5
+#: Tokens of an item whose windows, all found, are evidence together; tokens of a stretch that counts whatever clashes outside it; literal tokens that make up for a clash of numbers.
+WHOLE, STRETCH, CLASH = 5, 13, 2
 
 
 def tokens(text: Column) -> Column:
@@ -61,7 +61,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     Evidence at one alignment is a window with `literals` literal tokens (of a short item, all but one), or a window
     without a differing value, or all windows of an item of WHOLE tokens; windows without a literal token are
-    not matched. Values must map one to one.
+    not matched. Values must map one to one, but each clash of numbers can be made up for by CLASH more
+    literal tokens than `literals`, and a stretch of STRETCH tokens, `literals` of them literal, that holds no
+    differing value of a clash counts whatever clashes elsewhere.
 
     n_windows counts the item's windows found at one alignment; verbatim: no placeholder's value differs.
     Items shorter than a window are matched whole. Null texts are empty and match nothing, rows that repeat a doc_id
@@ -106,8 +108,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         matched = matched.withColumn(f"twice_{side}", F.expr(f"filter(array_distinct(twice_{side}), x -> size(filter(twice_{side}, y -> y = x)) > 1)"))
     clashes = "filter(slots, z -> z.a <> z.b AND (array_contains(twice_a, struct(z.shape, z.a as x)) OR array_contains(twice_b, struct(z.shape, z.b as x))))"
     matched = matched.withColumn("clashes", F.expr(clashes))
+    # the longest stretch without a clash
+    begin = "named_struct('last', -1, 'run', 0, 'literal', 0, 'best', 0)"
+    on = "named_struct('last', z.p, 'run', if(z.p = s.last + 1, s.run, 0) + 1, 'literal', if(z.p = s.last + 1, s.literal, 0) + if(z.shape = '', 1, 0), 'best', s.best)"
+    best = f"element_at(transform(array({on}), y -> named_struct('last', y.last, 'run', y.run, 'literal', y.literal, 'best', greatest(y.best, if(y.literal >= {literals}, y.run, 0)))), 1)"
+    step = f"if(array_contains(clashes, struct(z.shape, z.a, z.b)), named_struct('last', z.p, 'run', 0, 'literal', 0, 'best', s.best), {best})"
+    matched = matched.withColumn("stretch", F.expr(f"aggregate(places, {begin}, (s, z) -> {step}, s -> s.best)"))
     evidence = f"(rich OR same OR (n_windows = all AND size >= {WHOLE}))"
-    matched = matched.where(f"size(clashes) = 0 AND {evidence}")
+    literal = "size(filter(places, z -> z.shape = ''))"
+    numbers = f"forall(clashes, z -> z.shape = '\x01number') AND rich AND {literal} >= {literals} + {CLASH} * size(clashes)"
+    matched = matched.where(f"(size(clashes) = 0 AND {evidence}) OR (size(clashes) > 0 AND {numbers}) OR stretch >= {STRETCH}")
     matched = matched.withColumn("verbatim", F.expr("forall(slots, z -> z.a = z.b)"))
     best = matched.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("verbatim").alias("verbatim"))
     return best.select(F.expr("nullif(doc_id, -9223372036854775808L)").alias("doc_id"), "item_id", "n_windows", "verbatim")

@@ -277,6 +277,16 @@ def test_leaks_dense_in_numbers_and_names_are_found(spark):
     assert got == {(10 * k + i, i): not k for k in range(2) for i in range(5)}
 
 
+def test_clashes_are_weighed(spark):
+    q = "A box holds 5 red and 5 blue balls while 3 boys and 4 girls take some of them so how many balls are left"
+    story = "once upon a time Anna met a fox in the wood near a river and the fox told her that Bob was far away from there and that she should turn back at once before night fell on all the land"
+    bench = spark.createDataFrame([(1, q), (2, story)], "item_id long, text string")
+    rows = [(1, q.replace("5 red", "7 red").replace("5 blue", "9 blue"), "a"), (2, q.replace("3 boys", "6 boys").replace("4 girls", "6 girls"), "a"), (3, story.replace("Anna", "Bob"), "a")]
+    rows += [(4, "Anna met a fox in the wood near a Bob", "a")]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): False, (3, 2): False}
+
+
 # 6
 
 
