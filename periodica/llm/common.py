@@ -1,10 +1,10 @@
-"""What the operators of this package share: lineage cuts, Arrow batches, connected components."""
+"""What the operators of this package share: lineage cuts, row keys, Arrow batches, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A translation of bytes that lower-cases A-Z and nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows and bytes of one Arrow batch, so that a worker's memory does not follow the table.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -26,24 +26,66 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a checkpoint folder set on the context.
 
-    Only where that setting is missing (a local session, as in tests) a folder of our own is set.
+    Only a local session (one machine, as in tests) gets a temporary folder where neither is set.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="periodica-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write df as a table in the folder of spark.checkpoint.dir and read it: a lineage cut that is compressed on disk."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="periodica-checkpoint-")
-    path = f"{folder.rstrip('/')}/periodica-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it: a lineage cut that is compressed on disk."""
+    return _written(df)[0]
+
+
+class Scratch:
+    """Tables that one operator writes on its way: deleted when it ends, but for what its result reads.
+
+        with Scratch(spark) as s:
+            a = s.table(...)
+            return s.result(...)  # written before the others go
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths:
+            at = hadoop(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return table(df)
 
 
 def texts(documents: DataFrame, *columns: Column) -> DataFrame:
@@ -76,17 +118,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             start = end
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of each node in `links` (a, b).
 
-    Alternating large-star and small-star rounds: every step is a group-by with a partial
+    Alternating large-star and small-star rounds until nothing changes: every step is a group-by with a partial
     aggregate and a join, so that a hub's neighbours are never gathered in one row or task.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     state = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while True:
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -96,8 +138,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -105,31 +145,54 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 NO_ID = -(2**63)
 
 
-def one_per_id(documents: DataFrame) -> DataFrame:
-    """doc_id (null: NO_ID) and text with one row per doc_id: of rows that repeat an id, the one with the least text.
+def keyed(documents: DataFrame) -> tuple[DataFrame, str]:
+    """documents with one more column, a unique long key of each row, and that column's name.
 
-    Only ids are shuffled to find repeats; texts move for repeated ids alone.
+    The key is the doc_id itself (NO_ID for a null) where that is unique; only ids are shuffled to see that. Else rows
+    are numbered in the order of doc_id, null first, and rows of one id by their texts; the numbered table is written,
+    so that a key never changes. A hot id is spread over tasks by its texts' hashes.
     """
-    rows = texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    again = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return rows
-    return rows.join(again, "doc_id", "left_anti").union(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    name = "row_key"
+    while name in documents.columns:
+        name += "_"
+    ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"))
+    if ids.groupBy("k").count().where("count > 1").isEmpty():
+        return documents.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), name
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = [F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64(text), text]
+    dealt = documents.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    return table(dealt.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def one_row_each(documents: DataFrame) -> DataFrame:
+    """doc_id (the unique key of `keyed`), own_id (the row's doc_id) and text, a null text as the empty one, of every row."""
+    rows, key = keyed(documents)
+    return rows.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-#: A sketch has 2**SKETCH_BITS bits, whatever it is made from.
-SKETCH_BITS = 24
+def without_rows(documents: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of documents, columns as they are, but for those whose key is a doc_id of find(doc_id: key, own_id, text)."""
+    rows, key = keyed(documents)
+    gone = find(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    gone = gone.select(F.col("doc_id").alias("gone_key")).distinct()
+    return rows.join(gone, rows[key] == gone["gone_key"], "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
-def sketch(df: DataFrame, column: str) -> DataFrame:
-    """word, bits: a bitmap of fixed size over the hashes of a column; 2**18 rows at most, so that it can be broadcast."""
-    h = F.xxhash64(F.col(column))
-    return df.select(F.shiftrightunsigned(h, 64 - SKETCH_BITS + 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+#: Bits of a sketch for each value in it, and the bounds of its size: the largest has 2**18 rows of 64 bits.
+SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 8, 14, 24
 
 
-def maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """df with a boolean column `maybe`: false only for values that are not in the sketch."""
-    h = F.xxhash64(F.col(column))
-    word = F.shiftrightunsigned(h, 64 - SKETCH_BITS + 6).cast("int")
-    found = df.join(F.broadcast(bitmap), word == bitmap["word"], "left")
-    return found.withColumn("maybe", F.expr(f"coalesce(bits & shiftleft(1L, cast(xxhash64({column}) & 63 as int)), 0L) <> 0")).drop("word", "bits")
+def maybe(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """df with a boolean column `maybe`: false only for values of `column` that `values`, a written table, doesn't hold.
+
+    A bitmap sized by the number of values is broadcast, so that rows which cannot match need not be shuffled. For
+    more values than the largest bitmap can tell apart all rows are marked, and the caller's join shuffles them.
+    """
+    bits = max(SKETCH_LEAST, (SKETCH_SHARE * max(1, values.count()) - 1).bit_length())
+    if bits > SKETCH_MOST:
+        return df.withColumn("maybe", F.lit(True))
+    word = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - bits + 6)
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")
+    bitmap = values.select(word.alias("sketch_word"), bit.alias("bit")).groupBy("sketch_word").agg(F.bit_or("bit").alias("sketch_bits"))
+    found = df.withColumn("sketch_word", word).join(F.broadcast(bitmap), "sketch_word", "left")
+    return found.withColumn("maybe", F.coalesce(F.col("sketch_bits").bitwiseAND(bit), F.lit(0)) != 0).drop("sketch_word", "sketch_bits")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe, one_per_id, sketch, table
+from .common import maybe, one_row_each, table, without_rows
 
 #: Units and number words.
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons dollar dollars euro euros cent cents usd eur gbp percent degree degrees celsius fahrenheit kmh mph".split()
@@ -66,10 +66,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     differing value of a clash counts whatever clashes elsewhere.
 
     n_windows counts the item's windows found at one alignment; verbatim: no placeholder's value differs.
-    Items shorter than a window are matched whole. Null texts are empty and match nothing, rows that repeat a doc_id
-    count as one (with the least text), a null doc_id gives a null. Empty tables give no rows.
+    Items shorter than a window are matched whole. Null and empty texts match nothing. Rows that repeat a doc_id, or have none, are
+    searched and reported each. Very long texts are searched whole. Only doc_id and text are read, so other columns may have any
+    names. Empty tables give no rows.
     """
-    rows = one_per_id(documents)
+    return _contaminated(one_row_each(documents), benchmark, window, literals).select(F.col("own_id").alias("doc_id"), "item_id", "n_windows", "verbatim")
+
+
+def _contaminated(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """doc_id (the key), own_id, item_id, n_windows, verbatim for rows (doc_id, own_id, text)."""
     asked = table(benchmark_windows(benchmark, window))
     lengths = [r[0] for r in asked.select("length").distinct().orderBy("length").collect()]  # 1 to `window`
     keys = asked.groupBy("h", "length").agg(F.collect_list(F.struct("item_id", "j")).alias("at"))
@@ -83,22 +88,22 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         found = found.select("doc_id", "i", "length", "at.item_id", "at.j")
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        return rows.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(False).alias("verbatim")).limit(0)
+        return rows.select("doc_id", "own_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(False).alias("verbatim")).limit(0)
     hits = table(hits)
-    held = maybe(rows, "doc_id", sketch(hits, "doc_id")).where("maybe").select("doc_id", "text")
+    held = maybe(rows, "doc_id", hits.select("doc_id").distinct()).where("maybe").select("doc_id", "own_id", "text")
     held = hits.select("doc_id", "i", "length").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("i", "length")).alias("at")).join(held, "doc_id")
     # the tokens are bound to a lambda's variable: a column that is named once inside a lambda is computed anew for each element
     seen_at = "transform(ws, w -> transform(at, x -> struct(x.i, x.length, transform(sequence(0, x.length - 1), n -> get(w, x.i + n)) as seen)))[0]"
-    held = held.withColumn("ws", F.array(tokens(F.col("text")))).select("doc_id", F.expr(seen_at).alias("at"))
-    seen = held.select("doc_id", F.explode_outer("at").alias("at")).select("doc_id", "at.*")  # outer, as above
+    held = held.withColumn("ws", F.array(tokens(F.col("text")))).select("doc_id", "own_id", F.expr(seen_at).alias("at"))
+    seen = held.select("doc_id", "own_id", F.explode_outer("at").alias("at")).select("doc_id", "own_id", "at.*")  # outer, as above
     pairs = hits.join(seen, ["doc_id", "i", "length"]).join(asked, ["item_id", "j", "length"])
     places = F.expr("transform(arrays_zip(shape, values, seen), (z, n) -> struct(j + n as p, if(z.shape like '\x01%', z.shape, '') as shape, lower(z.values) as a, lower(z.seen) as b))")
-    pairs = pairs.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "size", "literals", "length", places.alias("places"))
+    pairs = pairs.select("doc_id", "own_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "size", "literals", "length", places.alias("places"))
     least = F.least(F.lit(literals), F.col("length") - 1)
     same = F.expr("forall(places, z -> z.shape = '' OR z.a = z.b)")
     pairs = pairs.withColumn("rich", F.col("literals") >= least).withColumn("same", same)
     whole = asked.groupBy("item_id").agg(F.count("*").alias("all"))
-    matched = pairs.groupBy("doc_id", "item_id", "shift").agg(
+    matched = pairs.groupBy("doc_id", "own_id", "item_id", "shift").agg(
         F.countDistinct("j").alias("n_windows"), F.max("rich").alias("rich"), F.max("same").alias("same"), F.first("size").alias("size"), F.collect_set("places").alias("places")
     ).join(F.broadcast(whole), "item_id")
     matched = matched.withColumn("places", F.expr("array_sort(array_distinct(flatten(places)))"))  # by p
@@ -119,11 +124,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     numbers = f"forall(clashes, z -> z.shape = '\x01number') AND rich AND {literal} >= {literals} + {CLASH} * size(clashes)"
     matched = matched.where(f"(size(clashes) = 0 AND {evidence}) OR (size(clashes) > 0 AND {numbers}) OR stretch >= {STRETCH}")
     matched = matched.withColumn("verbatim", F.expr("forall(slots, z -> z.a = z.b)"))
-    best = matched.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("verbatim").alias("verbatim"))
-    return best.select(F.expr("nullif(doc_id, -9223372036854775808L)").alias("doc_id"), "item_id", "n_windows", "verbatim")
+    return matched.groupBy("doc_id", "own_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("verbatim").alias("verbatim"))
 
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents, columns as they are, without those whose doc_id holds a benchmark item."""
-    gone = contaminated(documents, benchmark).select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """The rows of documents, columns as they are, without those that hold a benchmark item; each row is judged by its own text."""
+    return without_rows(documents, lambda rows: _contaminated(rows, benchmark))

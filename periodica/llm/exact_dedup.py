@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, raw, texts
+from .common import bounded, cut, raw, texts, without_rows
 
 #: Two primes under 2**31: a chunk's sum of byte times power stays under 2**52, so float64 dot products are exact.
 MODULI = (2147483647, 2147483629)
@@ -100,6 +100,5 @@ def exact_dedup(documents: DataFrame, moduli: tuple[int, int] = MODULI) -> DataF
 
 
 def keep_exact(documents: DataFrame) -> DataFrame:
-    """The rows of documents, columns as they are, whose row of exact_dedup is kept."""
-    gone = exact_dedup(documents).where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of documents, columns as they are, without all but one of each group of equal texts: its largest doc_id stays; of rows that share it, one."""
+    return without_rows(documents, lambda rows: exact_dedup(rows).where(~F.col("kept")))

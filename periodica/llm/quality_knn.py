@@ -42,6 +42,11 @@ def term_counts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counts(column: pa.Array) -> np.ndarray:
+    data, at = raw(column)
+    return np.stack([term_counts(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+
 def _weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     x = np.log1p(counts[:, :TERMS]) * rarity
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -108,7 +113,7 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, limit: int) -
     return counts, rows["label"].to_numpy(np.int64)
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = LABELLED, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_scores(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = LABELLED, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents.
 
     Learnt from at most `limit` labelled rows whose crc32(doc_id) mod 5 is not 0; scored from the text
@@ -123,15 +128,21 @@ def quality_scores(documents: DataFrame, labels: DataFrame, column: str = "quali
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                data, at = raw(part.column("text"))
-                counts = np.stack([term_counts(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-                score = model.value.score(counts)
+                score = model.value.score(_counts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return texts(documents, held_out(5).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_quality(documents: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of documents, columns as they are, without those that quality_scores predicts 0 for."""
-    gone = quality_scores(documents, labels, **parameters).where("predicted = 0").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def keep_quality(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = LABELLED, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents, columns as they are, whose text scores `threshold` or more; one pass, no shuffle of texts."""
+    spark = bounded(documents.sparkSession)
+    model = spark.sparkContext.broadcast(Neighbours.fit(*labelled(documents, labels, column, limit)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                yield part.filter(pa.array(model.value.score(_counts(part.column("text").fill_null(""))) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

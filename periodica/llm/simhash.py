@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, SKETCH_BITS, bounded, components, cut, maybe, one_per_id, pieces, sketch, table, texts
+from .common import LOWER, Scratch, bounded, components, cut, maybe, one_row_each, pieces, texts, without_rows
 
 SEED = 42
 
@@ -88,43 +88,63 @@ def _segment(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else fp
 
 
-def links(points: DataFrame, distance: int = 4, count: int = 3, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Pairs (a, b) of ids of `points` (id, fp) that span the same components as all pairs within `distance`.
+def best_count(points: int, distance: int) -> int:
+    """The number of segments with the fewest comparisons: a probe for every change within a ball, each with its share of the points."""
 
-    Each segment of a fingerprint is a table key. A fingerprint probes the keys in a small Hamming ball
-    around its own segment; a match's complete distance is verified, then `check` (pairs to those that
-    hold) if there is one. A dense bucket is first reduced to a star: every probe is compared with the
-    bucket's least member only, in a join that gives one row a probe. After that only pairs from
-    different components are left to be emitted, so that a group of near copies costs its size and not
-    its square in rows.
-    """
-    cuts, radii = segments(64, count), balls(distance, count)
-    tables, probes = [], []
-    for i, ((shift, width), radius) in enumerate(zip(cuts, radii, strict=True)):
+    def work(count: int) -> float:
+        parts = zip(segments(64, count), balls(distance, count), strict=True)
+        return sum(sum(math.comb(width, r) for r in range(radius + 1)) * (1 + points / 2.0**width) for (_, width), radius in parts if radius >= 0)
+
+    return min(range(1, distance + 2), key=work)
+
+
+def _entries(distance: int, count: int) -> tuple[list[Column], list[Column]]:
+    """Structs (seg, value) under which a fingerprint is filed, and those that it probes: all small changes of its segments."""
+    filed, probes = [], []
+    for i, ((shift, width), radius) in enumerate(zip(segments(64, count), balls(distance, count), strict=True)):
         if radius < 0:
             continue
         own = _segment(F.col("fp"), shift, width)
-        tables.append(F.struct(F.lit(i).alias("seg"), own.alias("value")))
+        filed.append(F.struct(F.lit(i).alias("seg"), own.alias("value")))
         probes += [F.struct(F.lit(i).alias("seg"), own.bitwiseXOR(F.lit(m)).alias("value")) for m in masks(width, radius)]
+    return filed, probes
+
+
+def _keyed(df: DataFrame, entries: list[Column], name: str) -> DataFrame:
+    named = [F.col(c).alias(f"{name}_{c}") for c in df.columns]
+    return df.select(*named, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.value", *[f"{name}_{c}" for c in df.columns])
 
-    def keyed(df: DataFrame, entries: list[Column], name: str) -> DataFrame:
-        named = [F.col(c).alias(f"{name}_{c}") for c in df.columns]
-        return df.select(*named, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.value", *[f"{name}_{c}" for c in df.columns])
 
-    check = check or (lambda pairs: pairs)
+def star(points: DataFrame, distance: int, count: int) -> DataFrame:
+    """Pairs (a, b) of ids of `points` (id, fp) within `distance`: every probe against its bucket's least member only, so one row a probe at most."""
+    filed, probes = _entries(distance, count)
+    pivots = _keyed(points, filed, "b").groupBy("seg", "value").agg(F.min("b_id").alias("b_id"), F.min_by("b_fp", "b_id").alias("b_fp"))
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
-    pivots = keyed(points, tables, "b").groupBy("seg", "value").agg(F.min("b_id").alias("b_id"), F.min_by("b_fp", "b_id").alias("b_fp"))
-    star = keyed(points, probes, "a").join(pivots, ["seg", "value"]).where((F.col("a_id") != F.col("b_id")) & near)
-    star = cut(check(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
-    label = components(star).withColumnRenamed("node", "id")
+    found = _keyed(points, probes, "a").join(pivots, ["seg", "value"]).where((F.col("a_id") != F.col("b_id")) & near)
+    return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def links(points: DataFrame, distance: int = 4, count: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ids of `points` (id, fp) that span the same components as all pairs within `distance`.
+
+    Each segment of a fingerprint is a table key. A fingerprint probes the keys in a small Hamming ball
+    around its own segment; a match's complete distance is verified. A dense bucket is first reduced to a
+    star about its least member; after that only pairs from different components are left to be emitted,
+    so that a group of near copies costs its size and not its square in rows. `count` segments, by
+    default as many as keep the comparisons fewest for the number of points.
+    """
+    count = count or best_count(points.count(), distance)
+    filed, probes = _entries(distance, count)
+    first = cut(star(points, distance, count))
+    label = components(first).withColumnRenamed("node", "id")
     marked = cut(points.join(label, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("c")))
-    left, right = keyed(marked, probes, "a"), keyed(marked, tables, "b")
+    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
+    left, right = _keyed(marked, probes, "a"), _keyed(marked, filed, "b")
     rest = left.join(right, (left["seg"] == right["seg"]) & (left["value"] == right["value"]) & (left["a_c"] != right["b_c"]) & near)
-    rest = check(cut(rest.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()))
-    return star.union(rest)
+    return first.union(rest.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct())
 
 
-def simhash_components(documents: DataFrame, words: int = 4, distance: int = 4, segment_count: int = 3) -> DataFrame:
+def simhash_components(documents: DataFrame, words: int = 4, distance: int = 4, segment_count: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of documents.
 
     A component's id is the least doc_id that links reach. Null and empty texts have the fingerprint
@@ -145,86 +165,67 @@ def _shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-#: Every so many-th document is looked at for common shingles, which are those in so many of them.
-LOOK, COMMON = 16, 3
+#: Every so many-th document is looked at for common shingles, which are those in so many of them; bits of their bitmap.
+LOOK, COMMON, COMMON_BITS = 16, 3, 24
+#: Fingerprints of near copies that the balls look for.
+NEAR = 4
 
 
 def _common(rows: DataFrame, words: int) -> np.ndarray:
-    """A bitmap of fixed size over the first bits of shingles that are common in a sample: it only orders shingles, and so decides no result."""
+    """A bitmap over the first bits of shingles that are common in a sample: it only says in which order shingles are read, and decides no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             found = [_shingle_set(x.as_buffer().to_pybytes(), words).view(np.int64) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
 
     bounded(rows.sparkSession)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0).select("text").mapInArrow(run, "s long")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - SKETCH_BITS}) & 63 as int))")
-    word = F.shiftrightunsigned("s", 64 - SKETCH_BITS + 6).cast("int")
-    got = some.groupBy("s").count().where(f"count >= {COMMON}").select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-    bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - COMMON_BITS}) & 63 as int))")
+    word = F.shiftrightunsigned("s", 64 - COMMON_BITS + 6).cast("int")
+    got = some.groupBy("s").count().where(f"count >= {COMMON}").select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (COMMON_BITS - 6), np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
     return bitmap.view(np.uint64)
 
 
-def prefix(shingles: np.ndarray, bitmap: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of the shingles, ordered by (common, hash): two sets of at least that Jaccard similarity share one of these.
+def prefix(shingles: np.ndarray, bitmap: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first of the shingles, ordered by (common, hash), and how many are not common: two sets of at least that Jaccard similarity share one of these.
 
     Both sets hold `similarity` of the larger one's shingles in common, so the first common one is not further back.
     """
-    at = shingles >> np.uint64(64 - SKETCH_BITS)
+    at = shingles >> np.uint64(64 - COMMON_BITS)
     common = (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-    n = len(shingles)
-    return np.concatenate([shingles[~common], shingles[common]])[: n - math.ceil(similarity * n - 1e-6) + 1]
+    n, own = len(shingles), shingles[~common]
+    return np.concatenate([own, shingles[common]])[: n - math.ceil(similarity * n - 1e-6) + 1], len(own)
 
 
 def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, a hash of the set of `words`-word shingles, the set's size n, and its prefix."""
+    """doc_id, a hash of the set of `words`-word shingles, the set's size n, its number of shingles that are not common, SimHash, and prefix."""
     sent = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             sets = [_shingle_set(x.as_buffer().to_pybytes(), words) for x in batch.column("text")]
             content = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            first = [prefix(x, bitmap, similarity).view(np.int64) for x in sets]
+            first, own = zip(*(prefix(x, bitmap, similarity) for x in sets), strict=True)
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
-            columns = [batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "n", "prefix"])
-
-    return rows.mapInArrow(run, "doc_id long, content binary, n int, prefix array<long>")
-
-
-def prefix_links(sets: DataFrame, similarity: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pairs (a, b) of ids of `sets` (id, n, prefix) that span the same components as all pairs of at least that Jaccard similarity.
+            columns = [
+                batch.column("doc_id"), batch.column("own_id"), pa.array(content, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(own, pa.int32()), pa.array(list(map(majority, sets)), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own_id", "content", "n", "own", "fp", "prefix"])
 
-    Candidates share a shingle of their prefixes, at places that leave room for the overlap the similarity
-    asks for: the pair's first common shingle always does, so that none is missed. `check` verifies them. As
-    in `links`, every document is first compared with one pivot of each shingle, the least id; then only
-    pairs from different components are left.
-    """
-    places = table(sets.select("id", "n", F.posexplode("prefix").alias("pos", "s")))
-    pivots = table(places.groupBy("s").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "pos")).alias("p")).where("many > 1").select("s", "p.*"))
-    shared = maybe(places, "s", sketch(pivots, "s")).where("maybe").drop("maybe")
-
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.select("s", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "s"])
-
-    room = F.expr(f"least(a_n - a_pos, b_n - b_pos) * {1 + similarity}D >= {similarity}D * (a_n + b_n) - 1e-6D")
-    star = named(shared, "a").join(named(pivots, "b"), "s").where((F.col("a_id") != F.col("b_id")) & room)
-    star = table(check(table(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())))
-    label = components(star).withColumnRenamed("node", "id")
-    marked = table(shared.join(pivots.select("s"), "s", "left_semi").join(label, "id", "left").select("id", "n", "pos", "s", F.coalesce("component", "id").alias("c")))
-    rest = named(marked, "a").join(named(marked, "b"), "s").where((F.col("a_id") > F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & room)
-    rest = check(table(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()))
-    return star.union(rest)
+    bounded(rows.sparkSession)
+    return rows.select("doc_id", "own_id", "text").mapInArrow(run, "doc_id long, own_id long, content binary, n int, own int, fp long, prefix array<long>")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+def _similar(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets of shingles have at least that Jaccard similarity, counted exactly."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             found = [_shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
 
@@ -234,36 +235,82 @@ def _similar(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = maybe(rows, "doc_id", sketch(ids, "doc_id")).where("maybe").select("doc_id", "text")
-    found = table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"))
+    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    some = maybe(rows, "doc_id", ids).where("maybe").select("doc_id", "text")
+    found = scratch.table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"))
     both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return scratch.table(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"))
+
+
+def _room(similarity: float) -> Column:
+    """Whether shingles from these places on can make up the overlap that two sets of sizes a_n and b_n need."""
+    return F.expr(f"least(a_n - a_pos, b_n - b_pos) * {1 + similarity}D >= {similarity}D * (a_n + b_n) - 1e-6D")
+
 
+def _named(df: DataFrame, name: str) -> DataFrame:
+    return df.select("s", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "s"])
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the least doc_id of its group) of every document.
 
-    Two documents are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
-    `similarity`; every such pair is found, by a prefix filter, and counted exactly. Documents without
-    words form one group. Of rows that repeat a doc_id the one with the least text counts; a null doc_id
-    comes out null and in a group of its own text. An empty table gives no rows.
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = NEAR) -> DataFrame:
+    """doc_id, component_id (the least doc_id of its group) of every row of documents.
+
+    Two rows are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
+    `similarity`, counted exactly. Candidates come from multi-index hashing of SimHash fingerprints within
+    `distance` bits. A fingerprint of 64 bits cannot tell a similarity of 0.8 from one of 0.7, so what that
+    ball leaves apart is found by an exact prefix filter: the first shared shingle, rare ones first, of a
+    pair at the threshold lies in the first fifth of the larger set and in the first ninth of the smaller
+    one, at places that leave room for the overlap. So no pair at the threshold is missed.
+
+    Every entry is compared with one pivot of its shingle first, the set with the smallest share of
+    shingles of its own; only pairs from different components are compared after that.
+
+    Rows without words form one group. Repeated rows and rows that share a doc_id are rows like any other; a null doc_id
+    comes out null, and component_id is null only for a group without any. Very long texts are read whole, in pieces
+    of whole rows. Other columns are not read. An empty table gives no rows.
+    """
+    return _near(one_row_each(documents), words, similarity, distance).select(F.col("own_id").alias("doc_id"), F.col("own_component").alias("component_id"))
+
+
+def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> DataFrame:
+    """doc_id (the key), own_id, component (a key), own_component of rows (doc_id, own_id, text)."""
+    with Scratch(rows.sparkSession) as scratch:
+        each = scratch.table(_sets(rows, words, similarity))
+        nodes = scratch.table(each.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "own", "fp"), "doc_id").alias("x")).select("id", "content", "x.*"))
+        alone = each.join(nodes.select("id"), each["doc_id"] == nodes["id"], "left_semi")
+        entries = alone.select(F.col("doc_id").alias("id"), "n", (F.col("own") / F.col("n")).alias("share"), F.posexplode("prefix").alias("pos", "s"))
+        # as the smaller set of a pair, by (n, id), a set is found under fewer of its shingles
+        entries = scratch.table(entries.withColumn("low", F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)}D * n - 1e-6D) + 1")))
+        best = F.min(F.when(F.col("low"), F.struct("share", "id", "n", "pos")))
+        pivots = entries.groupBy("s").agg(F.count("*").alias("many"), best.alias("p")).where("many > 1 AND p IS NOT NULL")
+        shared = scratch.table(entries.join(scratch.table(pivots.select("s", "p")), "s").select("s", "id", "n", "pos", "low", F.col("p.id").alias("b_id"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos")))
+        stars = shared.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), "b_id", "b_n", "b_pos").where((F.col("a_id") != F.col("b_id")) & _room(similarity))
+        points = nodes.select("id", "fp")
+        ball = star(points, distance, best_count(points.count(), distance))
+        pairs = scratch.table(ball.union(stars.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        found = _similar(scratch, pairs, rows, words, similarity)
+        label = scratch.table(components(found).withColumnRenamed("node", "id"))
+        marked = scratch.table(shared.select("s", "id", "n", "pos", "low").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+        smaller = F.expr("named_struct('n', a_n, 'id', a_id) < named_struct('n', b_n, 'id', b_id)")
+        rest = _named(marked.where("low"), "a").join(_named(marked, "b"), "s").where(smaller & (F.col("a_c") != F.col("b_c")) & _room(similarity))
+        rest = scratch.table(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+        more = _similar(scratch, rest, rows, words, similarity)
+        of = nodes.join(label, "id", "left").select("id", "content", F.coalesce("component", "id").alias("component"))
+        if not more.isEmpty():  # links between components
+            ends = [of.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+            joined = more.join(ends[0], "a").join(ends[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+            merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+            of = of.join(merged, "component", "left").select("id", "content", F.coalesce("merged", "component").alias("component"))
+        out = each.select("doc_id", "own_id", "content").join(of.select("content", "component"), "content").select("doc_id", "own_id", "component")
+        least = out.groupBy("component").agg(F.min("own_id").alias("own_component"))
+        return scratch.result(out.join(least, "component"))
+
+
+def keep_one_per_group(documents: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = NEAR) -> DataFrame:
+    """The rows of documents, columns as they are, without all but one of each group of near duplicates: its least doc_id stays, a null one before others.
+
+    Of rows that share the least doc_id, or are equal, one stays.
     """
-    rows = one_per_id(documents)
-    each = table(_sets(rows, words, similarity))
-    nodes = table(each.groupBy("content").agg(F.min("doc_id").alias("id")))
-    sets = each.withColumnRenamed("doc_id", "id").join(nodes.select("id"), "id", "left_semi").select("id", "n", "prefix")
-    label = components(prefix_links(sets, similarity, lambda pairs: _similar(pairs, rows, words, similarity)))
-    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("content", F.coalesce("component", "id").alias("component"))
-    found = each.select("doc_id", "content").join(named, "content")
-    null = lambda c: F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c)
-    return found.select("doc_id", F.col("component").alias("component_id")).select(null("doc_id"), null("component_id"))
-
-
-def keep_one_per_group(documents: DataFrame, **parameters) -> DataFrame:
-    """The rows of documents, columns as they are, of the least doc_id of each group of near duplicates."""
-    gone = near_duplicates(documents, **parameters).where("doc_id <> coalesce(component_id, doc_id - 1)").select(F.col("doc_id").alias("gone"))
-    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")
+    return without_rows(documents, lambda rows: _near(rows, words, similarity, distance).where("doc_id <> component"))

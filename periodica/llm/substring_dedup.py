@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded, maybe, one_per_id, pieces, sketch, table
+from .common import Scratch, bounded, maybe, one_row_each, pieces
 from .windows import Anchors, Units, later_windows, opened, repeated_runs
 
 
@@ -31,10 +31,10 @@ def compact(edges: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "path").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n"), F.min("source_doc").alias("source_doc"), F.min("source_first").alias("source_first")).drop("path")
 
 
-def verified(spans: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def verified(scratch: Scratch, spans: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """The spans whose words are those at their source coordinates, by SHA-256 of both."""
     asked = spans.select("doc_id", "first", "n").union(spans.select("source_doc", "source_first", "n")).distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("asked"))
+    asked = scratch.table(asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("asked")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -44,8 +44,8 @@ def verified(spans: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 out += [(doc, x["first"], x["n"], hashlib.sha256(units.slice(x["first"], x["n"] + width - 1)).digest()) for x in spans]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "first", "n", "digest"])
 
-    some = maybe(rows, "doc_id", sketch(asked, "doc_id")).where("maybe").select("doc_id", "text")
-    digests = table(some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, digest binary"))
+    some = maybe(rows, "doc_id", asked).where("maybe").select("doc_id", "text")
+    digests = scratch.table(some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, digest binary"))
     source = digests.select(F.col("doc_id").alias("source_doc"), F.col("first").alias("source_first"), "n", F.col("digest").alias("source_digest"))
     return spans.join(digests, ["doc_id", "first", "n"]).join(source, ["source_doc", "source_first", "n"]).where("digest = source_digest").select("doc_id", "first", "n")
 
@@ -59,12 +59,13 @@ def dedup_words(documents: DataFrame, width: int = 20, gram: int = 8, kept_text:
     words loses none. Of rows that repeat a doc_id the one with the least text counts, and a null doc_id
     comes before any other. An empty table gives no rows.
     """
-    rows = one_per_id(documents)
+    rows = one_row_each(documents)
     anchors = Anchors(width, gram, True)
-    moved, varied = repeated_runs(rows, anchors)
-    edges = moved.union(later_windows(table(opened(varied, anchors))).select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first"))
-    spans = table(compact(edges))
-    spans = table(verified(spans, rows, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    with Scratch(documents.sparkSession) as scratch:
+        moved, varied = repeated_runs(scratch, rows, anchors)
+        edges = moved.union(later_windows(scratch, scratch.table(opened(varied, anchors))).select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first"))
+        spans = scratch.table(compact(edges))
+        spans = scratch.result(verified(scratch, spans, rows, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     return without(rows, spans, width, True, kept_text)
 
 
@@ -76,7 +77,7 @@ def without(rows: DataFrame, spans: DataFrame, width: int, words: bool, kept_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out = []
-            for doc, text, spans in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "spans")), strict=True):
+            for doc, text, spans in zip(*(batch.column(x).to_pylist() for x in ("own_id", "text", "spans")), strict=True):
                 units, kept, at, removed, runs = Units(text.encode(), words), [], 0, 0, 0
                 for first, n in sorted((x["first"], x["n"]) for x in spans or ()):
                     if first > at or not runs:
@@ -89,12 +90,12 @@ def without(rows: DataFrame, spans: DataFrame, width: int, words: bool, kept_tex
                 if at < units.n:
                     kept.append(units.slice(at, units.n - at))
                 kept = (b" " if words else b"").join(kept)
-                out.append((None if doc == NO_ID else doc, units.n, removed, runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] * kept_text)))
+                out.append((doc, units.n, removed, runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] * kept_text)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
 
-    marked = maybe(rows, "doc_id", sketch(spans, "doc_id")).select("doc_id", "text", "maybe")
+    marked = maybe(rows, "doc_id", spans).select("doc_id", "own_id", "text", "maybe")
     none = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")
-    touched = marked.where("maybe").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    touched = marked.where("maybe").join(spans, "doc_id", "left").select("own_id", "text", "spans")
     bounded(rows.sparkSession)
-    return marked.where("NOT maybe").select("doc_id", "text", none).union(touched).mapInArrow(run, schema)
+    return marked.where("NOT maybe").select("own_id", "text", none).union(touched).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, one_per_id, table
+from .common import Scratch, bounded, one_row_each
 from .substring_dedup import without
 from .windows import Anchors, later_windows, opened, repeated_runs
 
@@ -122,12 +122,13 @@ def dedup_bytes(documents: DataFrame, width: int = 100, gram: int = 32, task_lab
     bucket are refined together in one task; a bucket with more than task_labels different runs is opened
     into windows that are dealt by content, which gives the same result for any number of them.
     """
-    rows = one_per_id(documents)
+    rows = one_row_each(documents)
     anchors = Anchors(width, gram, False)
-    moved, varied = repeated_runs(rows, anchors)
-    varied = table(varied)
-    refined = repeated_in_buckets(varied.where(F.col("labels") <= task_labels), width)
-    spread = later_windows(table(opened(varied.where(F.col("labels") > task_labels), anchors)))
-    found = moved.select("doc_id", "first", "n").union(refined).union(spread.select("doc_id", "first", F.lit(1).alias("n")))
-    spans = table(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    with Scratch(documents.sparkSession) as scratch:
+        moved, varied = repeated_runs(scratch, rows, anchors)
+        varied = scratch.table(varied)
+        refined = repeated_in_buckets(varied.where(F.col("labels") <= task_labels), width)
+        spread = later_windows(scratch, scratch.table(opened(varied.where(F.col("labels") > task_labels), anchors)))
+        found = moved.select("doc_id", "first", "n").union(refined).union(spread.select("doc_id", "first", F.lit(1).alias("n")))
+        spans = scratch.result(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     return without(rows, spans, width, False, kept_text)

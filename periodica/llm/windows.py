@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, maybe, pieces, sketch, table
+from .common import Scratch, bounded, maybe, pieces
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,8 +24,8 @@ _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 #: Windows handled at once; a longer text is cut into overlapping blocks of so many.
 BLOCK = 1 << 22
 _LOW = np.uint64(0xFFFFFF)
-#: Bits of a hashed key that name a bit of the filter of repeated keys.
-FILTER_BITS = 24
+#: Bits of the filter of repeated keys for each such key, and the bounds of its size: 128 KB to 128 MB.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 8, 20, 30
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -102,16 +102,17 @@ class Anchors:
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits over the low bits of `keys`.key; its size does not depend on the data."""
-    low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.select(F.shiftright(low, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+    """A bitmap over the low bits of `keys`.key, a written table: a power of two of bits, about FILTER_SHARE a key."""
+    size = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_SHARE * max(1, keys.count()) - 1).bit_length()))
+    low = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
+    words = keys.select(F.shiftright(low, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
 
 
 def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    low = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -157,7 +158,7 @@ def _scan(rows: DataFrame, anchors: Anchors, bits) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _contexts(rows: DataFrame, anchors: Anchors, runs: DataFrame) -> DataFrame:
+def _contexts(scratch: Scratch, rows: DataFrame, anchors: Anchors, runs: DataFrame) -> DataFrame:
     """runs (key, labels, doc_id, first, n) with their units as context; only texts that have some are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +170,13 @@ def _contexts(rows: DataFrame, anchors: Anchors, runs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "labels", "doc_id", "first", "n", "context"])
 
-    asked = table(runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "labels", "first", "n")).alias("asked")))
-    some = maybe(rows, "doc_id", sketch(asked, "doc_id")).where("maybe").select("doc_id", "text")
+    asked = scratch.table(runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "labels", "first", "n")).alias("asked")))
+    some = maybe(rows, "doc_id", asked).where("maybe").select("doc_id", "text")
     bounded(rows.sparkSession)
     return some.join(asked, "doc_id").mapInArrow(run, "key long, labels long, doc_id long, first int, n int, context binary")
 
 
-def repeated_runs(rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(scratch: Scratch, rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFrame]:
     """For rows (doc_id, text), one per doc_id: whole runs with an earlier copy, and the first copies that may hold repeated windows.
 
     First result: doc_id, first, n, source_doc, source_first. Every window of such a run also starts in its source.
@@ -186,14 +187,14 @@ def repeated_runs(rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFra
     the filter lets through) are shuffled. The units of runs are fetched last, for first copies alone.
     """
     spark = rows.sparkSession
-    keys = table(_keys(rows, anchors).groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
-    found = table(_scan(rows, anchors, spark.sparkContext.broadcast(_bits(keys))))
+    keys = scratch.table(_keys(rows, anchors).groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
+    found = scratch.table(_scan(rows, anchors, spark.sparkContext.broadcast(_bits(keys))))
     firsts = found.groupBy("key", "label").agg(F.min("doc_id").alias("source_doc"), F.expr("min_by(first, doc_id) FILTER (WHERE lead)").alias("source_first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    firsts = table(firsts)
+    firsts = scratch.table(firsts)
     moved = found.join(firsts.where("copies > 1").drop("n"), ["key", "label"]).where("doc_id <> source_doc OR first <> source_first")
     several = firsts.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1")
     varied = firsts.join(several, "key").select("key", "labels", F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n")
-    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), _contexts(rows, anchors, varied)
+    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), _contexts(scratch, rows, anchors, varied)
 
 
 def opened(runs: DataFrame, anchors: Anchors) -> DataFrame:
@@ -215,10 +216,10 @@ def opened(runs: DataFrame, anchors: Anchors) -> DataFrame:
     return runs.select("doc_id", "first", "n", "context").mapInArrow(run, "doc_id long, first int, h1 long, h2 long")
 
 
-def later_windows(windows: DataFrame) -> DataFrame:
+def later_windows(scratch: Scratch, windows: DataFrame) -> DataFrame:
     """doc_id, first, source_doc, source_first of the windows (h1, h2) that are not the first of their kind.
 
     The first ones are written before the join: both of its sides are then exchanged for it, and a hot window's rows can be split.
     """
-    firsts = table(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("source"), F.count("*").alias("copies")).where("copies > 1"))
+    firsts = scratch.table(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("source"), F.count("*").alias("copies")).where("copies > 1"))
     return windows.join(firsts, ["h1", "h2"]).select("doc_id", "first", F.col("source.doc_id").alias("source_doc"), F.col("source.first").alias("source_first")).where("doc_id <> source_doc OR first <> source_first")

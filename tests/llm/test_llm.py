@@ -130,10 +130,36 @@ def test_refined_buckets_are_equal_substrings(seed):
         assert len(by) == len(set(cut))
 
 
-def test_repeated_ids_count_once_in_substring_dedup(spark):
+def test_rows_that_share_an_id_or_have_none_are_rows_of_their_own(spark):
     a, b = " ".join(prose(1, 40)), " ".join(prose(2, 40))
-    got = substring_dedup.dedup_words(table(spark, [(1, max(a, b), "a"), (1, min(a, b), "a"), (2, min(a, b), "a"), (None, max(a, b), "a")])).collect()
-    assert {(r.doc_id, r.n_removed) for r in got} == {(None, 0), (1, 0), (2, 40)} and len(got) == 3
+    docs = table(spark, [(1, a, "a"), (1, b, "a"), (2, b, "a"), (None, a, "a"), (None, "x y", "a"), (2, b, "a")])
+    for got, n in ((substring_dedup.dedup_words(docs).collect(), 40), (suffix_array.dedup_bytes(docs).collect(), None)):
+        removed = sorted((r.doc_id or 0, r.n_removed) for r in got)
+        size = {x: n or len(x.encode()) for x in (a, b)}
+        assert removed == [(0, 0), (0, 0), (1, 0), (1, size[a]), (2, size[b]), (2, size[b])]
+
+
+def test_filters_judge_rows_not_ids(spark):
+    q = "a long question about the way from the old mill to the new bridge over the river"
+    rows = [(1, "alpha", "a"), (2, "alpha", "a"), (1, "beta unique text", "a"), (7, "clean text", "a"), (7, q, "a"), (None, "ok then", "a"), (None, q, "b"), (None, q, "c"), (None, None, "a"), (9, "beta unique text", "z"), (9, "beta unique text", "z")]
+    docs = table(spark, rows)
+    kept = exact_dedup.keep_exact(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(2, "alpha"), (9, "beta unique text"), (7, "clean text"), (7, q), (0, "ok then"), (0, "")])
+    one = simhash.keep_one_per_group(docs)
+    assert sorted((r.doc_id or 0, r.text or "") for r in one.collect()) == sorted([(1, "alpha"), (1, "beta unique text"), (7, "clean text"), (0, q), (0, "ok then"), (0, "")])
+    clean = decontaminate.keep_uncontaminated(docs, spark.createDataFrame([(1, q)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == sorted((d or 0, t or "") for d, t, _ in rows if t != q)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0)], "doc_id long, quality int")
+    good = quality_knn.keep_quality(docs, labels)
+    scores = quality_knn.quality_scores(docs, labels).collect()
+    assert good.columns == docs.columns and good.count() == sum(r.predicted for r in scores)
+
+
+def test_empty_tables_stay_empty_in_filters(spark, empty):
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")
+    for out in (exact_dedup.keep_exact(empty), simhash.keep_one_per_group(empty), decontaminate.keep_uncontaminated(empty, bench), quality_knn.keep_quality(empty, labels), byte_bpe.encode_documents(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)):
+        assert out.count() == 0
 
 
 def test_no_documents_give_no_rows(spark, empty):
