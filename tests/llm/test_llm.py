@@ -361,14 +361,77 @@ def test_language_model_counts_and_probabilities(spark, docs, rows):
         assert r.score < 0
 
 
+def chain(seed, n):
+    """Prose in which the next word depends on the last one."""
+    r, out, w = random.Random(seed), [], 0
+    for _ in range(n):
+        w = (w * 7 + r.randint(0, 2)) % 60 if r.random() > 0.02 else 1000 + r.randint(0, 300)
+        out.append(f"w{w}")
+    return " ".join(out)
+
+
+def test_scores_ignore_partitions_and_beat_the_base_on_held_out_rows(spark):
+    rows = [(i, chain(i, 40 + i % 50), "a") for i in range(600)]
+    one = recurrent_lm.score_documents(table(spark, rows, 1), vocabulary=96, shard=4000).toPandas().set_index("doc_id").sort_index()
+    four = recurrent_lm.score_documents(table(spark, rows, 4), vocabulary=96, shard=4000).toPandas().set_index("doc_id").sort_index()
+    assert np.abs(one.score - four.score).max() < 1e-2
+    held = one[one.held_out]
+    gain = (held.score - held.base_score).sum() / held.n_tokens.sum()
+    assert len(held) > 30 and gain > 0.05, gain
+
+
+def test_scores_are_those_of_a_plain_recurrence(spark):
+    """Word by word, with the trained weights: every step's distribution over all words and unknown ones sums to 1, and the logs add up to the score."""
+    rows = [(i, chain(i, 30), "a") for i in range(120)] + [(500, "never seen w1 words", "a"), (501, None, "a")]
+    seen = {}
+    keep = recurrent_lm.train
+
+    def spy(scratch, train_rows, model, *a):
+        seen["model"] = keep(scratch, train_rows, model, *a)
+        return seen["model"]
+
+    recurrent_lm.train = spy
+    try:
+        got = as_dict(recurrent_lm.score_documents(table(spark, rows), vocabulary=40, tail=8))
+    finally:
+        recurrent_lm.train = keep
+    m = seen["model"]
+    c = Counter(w for d, t, _ in rows if zlib.crc32(str(d).encode()) % 10 for w in recurrent_lm.words_of((t or "").encode()))
+    top = sorted(c, key=lambda w: (-c[w], w))[:40]
+    rest = {t: {w: n for w, n in c.items() if w not in top and recurrent_lm.tail_of(w, 8) == t} for t in range(8)}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    w = {k: x.astype(float) for k, x in m.w.items()}
+    for d in (0, 7, 500, 501):
+        text = next(t for i, t, _ in rows if i == d) or ""
+        h, last, total = np.zeros(m.h), m.start, 0.0
+        for word in recurrent_lm.words_of(text.encode()):
+            zr = sig(w["e_zr"][last] + h @ w["u_zr"])
+            n = np.tanh(w["e_n"][last] + zr[m.h :] * (h @ w["u_n"]))
+            h = n + zr[: m.h] * (h - n)
+            klass = np.exp(h @ w["class_w"] + w["class_b"])
+            klass /= klass.sum()
+            p = {}
+            for k in range(m.k):
+                inner = np.exp(w["word_w"][k * 32 : k * 32 + 32] @ h + w["word_b"][k * 32 : k * 32 + 32])
+                p |= {x: klass[k] * y / inner.sum() for x, y in zip(top[k * 32 : k * 32 + 32], inner, strict=False)}
+            for t in range(8):
+                mass = sum(rest[t].values()) + 0.1 * (len(rest[t]) + 1)
+                p |= {x: klass[m.k + t] * (n + 0.1) / mass for x, n in rest[t].items()} | {("unknown", t): klass[m.k + t] * 0.1 / mass}
+            assert math.isclose(sum(p.values()), 1, rel_tol=1e-6)
+            t = recurrent_lm.tail_of(word, 8)
+            total += math.log10(p.get(word, p["unknown", t]))
+            last = top.index(word) if word in top else m.v + t
+        assert math.isclose(total, got[d].score, rel_tol=1e-4)
+
+
 def test_softmax_is_a_distribution_and_gradients_are_right():
-    m = recurrent_lm.Model(np.array([50.0, 30, 20, 10, 5]), 10, hidden=4)
-    m.k, m.w = m.k, {k: x.astype(np.float64) for k, x in m.w.items()}
+    m = recurrent_lm.Model(np.array([50.0, 30, 20, 10, 5]), np.array([7.0, 3.0]), hidden=4)
+    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}
     h = np.random.default_rng(0).normal(size=(1, 4))
-    p = [m.output(h.copy(), np.array([t]))[0] for t in range(6)]
+    p = [m.output(h.copy(), np.array([t]))[0] for t in range(7)]
     assert math.isclose(np.exp(p).sum(), 1, rel_tol=1e-6)
-    target = np.array([0, 3, 5])
-    hs = np.random.default_rng(1).normal(size=(3, 4))
+    target = np.array([0, 3, 5, 6])
+    hs = np.random.default_rng(1).normal(size=(4, 4))
     _, grads, back = m.output(hs.copy(), target, grad=True)
     for name, at in (("class_w", (1, 1)), ("word_w", (3, 2)), ("word_b", (0,)), ("class_b", (0,))):
         keep, e = m.w[name][at], 1e-6
@@ -382,12 +445,12 @@ def test_softmax_is_a_distribution_and_gradients_are_right():
 
 
 def test_state_is_carried_across_windows():
-    m = recurrent_lm.Model(np.arange(40, 0, -1).astype(float), 5, hidden=8)
-    docs = [np.random.default_rng(i).integers(0, 41, n) for i, n in enumerate((50, 7, 33, 1))]
+    m = recurrent_lm.Model(np.arange(40, 0, -1).astype(float), np.ones(3), hidden=8)
+    docs = [np.random.default_rng(i).integers(0, 43, n) for i, n in enumerate((50, 7, 33, 1))]
 
     def scores(lanes, steps):
         out, state = np.zeros(4), None
-        for x, y, doc, fresh in recurrent_lm.lanes_of(docs, m.v + 1, lanes, steps):
+        for x, y, doc, fresh in recurrent_lm.lanes_of(docs, m.start, lanes, steps):
             state = np.zeros((x.shape[1], m.h), np.float32) if state is None else state[: x.shape[1]]
             hidden, _ = m.forward(x, state, fresh)
             state = hidden[-1]
