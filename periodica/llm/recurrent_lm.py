@@ -26,7 +26,7 @@ from .common import LOWER, Scratch, bounded, pieces, texts
 #: Frequent words with weights of their own, words of a class, tail classes, hidden units, and the steps of one window.
 VOCABULARY, CLASS, TAIL, HIDDEN, STEPS = 1024, 32, 64, 16, 32
 #: Most frequent words whose counts are sent to every worker; counts of others are joined.
-LOCAL = 50_000
+LOCAL = 150_000
 #: Documents side by side in one batch, and learning rate.
 LANES, RATE, FIRST_SQUARE = 256, 0.1, 1e-7
 #: Tokens that a shard trains on between two averages, and averages; tokens that are laid out in lanes at a time.
@@ -331,7 +331,7 @@ def train(scratch: Scratch, rows: DataFrame, model: Model, tokens: int, rounds:
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["x", "n"])
 
-        learnt = rows.where(F.col("round") == part).select("shard", "h", "ids").repartition("shard").sortWithinPartitions("shard", "h", "ids")
+        learnt = rows.where(F.col("round") == part).select("shard", "h", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids")
         learnt = scratch.table(learnt.mapInArrow(run, "shard long, x binary, n long"))
         sums = learnt.withColumn("g", F.pmod("shard", F.lit(SUMS))).repartition(SUMS, "g").sortWithinPartitions("shard").select("x", "n").mapInArrow(add, "x binary, n long").collect()
         sent.unpersist()
@@ -359,24 +359,24 @@ def score_documents(documents: DataFrame, vocabulary: int = VOCABULARY, rounds:
         counts = scratch.table(word_counts(rows.where(training())))
         groups = counts.groupBy(F.pmod(F.crc32(F.expr("substring(word, -2)")), F.lit(tail)).cast("int").alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
         total, distinct = sum(r["c"] for r in groups), sum(r["n"] for r in groups)
-        top = counts.orderBy(F.desc("c"), "word").limit(max(LOCAL, vocabulary)).collect()
-        local = np.array([r["c"] for r in top], np.float64)
+        top = counts.orderBy(F.desc("c"), "word").limit(max(LOCAL, vocabulary)).toArrow()
+        top, local = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
         frequent = len(local[:vocabulary])
         in_tail, kinds = np.zeros(tail), np.zeros(tail)
         for r in groups:
             in_tail[r["t"]], kinds[r["t"]] = r["c"], r["n"]
-        for r in top[:frequent]:
-            t = tail_of(bytes(r["word"]), tail)
-            in_tail[t], kinds[t] = in_tail[t] - r["c"], kinds[t] - 1
+        for word, c in zip(top[:frequent], local[:frequent], strict=True):
+            t = tail_of(word, tail)
+            in_tail[t], kinds[t] = in_tail[t] - c, kinds[t] - 1
         mass = in_tail + SMOOTH * (kinds + 1)
-        known = {bytes(r["word"]): i for i, r in enumerate(top)}
-        ids_of = np.array([i if i < frequent else frequent + tail_of(bytes(r["word"]), tail) for i, r in enumerate(top)], np.int16)
+        known = {word: i for i, word in enumerate(top)}
+        ids_of = np.array([i if i < frequent else frequent + tail_of(word, tail) for i, word in enumerate(top)], np.int16)
         model = Model(local[:vocabulary], mass, hidden=hidden)
         sent = spark.sparkContext.broadcast((known, ids_of, np.log10(local + SMOOTH), frequent))
 
         def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, ids_of, logs, frequent = sent.value
-            many = len(known)
+            many, crc32 = len(known), zlib.crc32
             for batch in pieces(batches, "text"):
                 out = []
                 for text in batch.column("text"):
@@ -384,20 +384,21 @@ def score_documents(documents: DataFrame, vocabulary: int = VOCABULARY, rounds:
                     rank = np.fromiter(map(known.get, words, repeat(many)), np.int32, len(words))
                     far = np.flatnonzero(rank == many)
                     near = rank[rank < many]
-                    rare = Counter(map(words.__getitem__, far.tolist()))
+                    rare = [words[i] for i in far.tolist()]
                     ids = np.empty(len(words), np.int16)
                     ids[rank < many] = ids_of[near]
-                    ids[far] = [frequent + zlib.crc32(words[i][-2:]) % tail for i in far.tolist()]
-                    out.append((len(words), len(near), float(logs[near].sum()), float(logs[near[near >= frequent]].sum()), [{"word": w, "m": m} for w, m in rare.items()], ids))
+                    ids[far] = [frequent + crc32(w[-2:]) % tail for w in rare]
+                    value = logs[near]
+                    out.append((len(words), len(near), float(value.sum()), float(value[near >= frequent].sum()), rare, ids))
                 n, some, base, inner, rare, ids = zip(*out, strict=True)
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                ends, rare_ends = (np.cumsum([0, *map(len, x)], dtype=np.int32) for x in (ids, rare))
                 columns = [batch.column(x) for x in ("row", "doc_id", "held_out", "h")] + [
                     pa.array(n, pa.int64()), pa.array(some, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))),
+                    pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array([w for x in rare for w in x], pa.binary())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "h", "n_tokens", "frequent", "base", "inner", "rare", "ids"])
 
-        schema = "row long, doc_id long, held_out boolean, h long, n_tokens long, frequent long, base double, inner double, rare array<struct<word:binary,m:int>>, ids array<smallint>"
+        schema = "row long, doc_id long, held_out boolean, h long, n_tokens long, frequent long, base double, inner double, rare array<binary>, ids array<smallint>"
         h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.col("text").cast("string"), F.lit("")))
         read = scratch.table(texts(documents, held_out().alias("held_out"), h.alias("h"), F.monotonically_increasing_id().alias("row")).mapInArrow(identify, schema))
         model = train(scratch, read.where("NOT held_out").select("h", "ids"), model, total, rounds, shard)
@@ -423,10 +424,9 @@ def score_documents(documents: DataFrame, vocabulary: int = VOCABULARY, rounds:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("row")[i].as_py() for b, i, _ in piece], pa.int64()), pa.array(score)], ["row", "own"])
 
         own = read.select("row", "ids").mapInArrow(run, "row long, own double")
-        rare = read.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.m")
+        rare = read.select("row", F.explode("rare").alias("word"))
         seen = rare.join(counts, "word", "left").groupBy("row").agg(
-            F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n"),
-            F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"),
+            F.count("c").alias("n"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"),
         )
         whole = F.log10(F.lit(float(total + SMOOTH * (distinct + 1))))
         out = read.drop("rare", "ids", "h").join(own, "row").join(seen, "row", "left")
