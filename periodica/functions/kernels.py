@@ -9,8 +9,8 @@ def hp_detrend(y: np.ndarray, lam: float) -> np.ndarray:
     """y less its Hodrick-Prescott trend, by elimination in the five diagonals of I + lam * D'D."""
     y = np.nan_to_num(np.asarray(y, float))
     n = len(y)
-    if n < 5:
-        return np.zeros(n)
+    if n <= 5:
+        return np.full(n, np.nan)  # too short for a trend
     d = np.full(n, 1 + 6 * lam)
     d[[0, -1]], d[[1, -2]] = 1 + lam, 1 + 5 * lam
     e = np.full(n - 1, -4 * lam)
@@ -94,6 +94,20 @@ def savgol(y: np.ndarray, window: int, order: int = 2) -> np.ndarray:
     return out
 
 
+def turning_points(v: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of maxima and minima: strictly beyond all neighbours up to `order` away; ends never qualify."""
+
+    def tops(x: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([np.full(order, -np.inf), x, np.full(order, -np.inf)])
+        most = np.lib.stride_tricks.sliding_window_view(padded, order).max(axis=1)
+        found = (x > most[: len(x)]) & (x > most[order + 1 : order + 1 + len(x)])
+        found[[0, -1]] = False
+        return np.flatnonzero(found)
+
+    v = np.asarray(v, float)
+    return (tops(v), tops(-v)) if len(v) else (np.zeros(0, int), np.zeros(0, int))
+
+
 def ema(y: np.ndarray, period: int) -> np.ndarray:
     """Exponential mean that starts as the simple mean of the first `period` values; NaN before."""
     y, out = np.asarray(y, float), np.full(len(y), np.nan)
@@ -192,18 +206,27 @@ def varpro_fit(y: np.ndarray, freq: np.ndarray, start: np.ndarray, steps: int =
     return amp, f, phase
 
 
-def cycle_loss(reference: np.ndarray, amp, freq, phase, start, fitness: str = "mse", tail: int | None = None) -> float:
-    """Mean squared error of the composite, scaled to [-100, 100] over the tail, against the reference.
+def recent(n: int, freq: np.ndarray, start: np.ndarray, multiplier: float | None) -> np.ndarray:
+    """Where each component begins to count: its start, or so many of its periods before the end if that is later."""
+    start = np.asarray(start)
+    return start if multiplier is None else np.maximum(start, n - (multiplier / np.asarray(freq, float)).astype(int))
+
+
+def cycle_loss(reference: np.ndarray, amp, freq, phase, start, fitness: str = "mse", tail: int | None = None, multiplier: float | None = None, scaled: bool = True) -> float:
+    """Mean squared error of the composite, scaled to [-100, 100] over the tail unless `scaled` is False, against the reference.
 
-    The tail starts where all components are active, or `tail` bars from the end. `extrema` compares at
-    the composite's turning points only.
+    The tail starts where all components are active, or `tail` bars from the end. With a multiplier a component counts
+    in its last periods only. `extrema` compares at the composite's turning points only.
     """
     n = len(reference)
-    c = composite(n, freq, phase, amp, start)
+    i = np.arange(n)[:, None]
+    waves = np.sin(2 * np.pi * np.asarray(freq) * (i - np.asarray(start)) + np.asarray(phase)) * np.asarray(amp)
+    c = np.where(i >= recent(n, freq, start, multiplier), waves, 0.0).sum(axis=1)
     begin = min(n - 2, int(np.max(start, initial=0))) if tail is None else max(0, n - tail)
     c, r = c[max(0, begin) :], np.asarray(reference, float)[max(0, begin) :]
-    width = c.max() - c.min()
-    c = (c - c.min()) / (width if width > 0 else 1.0) * 200 - 100
+    if scaled:
+        width = c.max() - c.min()
+        c = (c - c.min()) / (width if width > 0 else 1.0) * 200 - 100
     if fitness == "extrema":
         turn = np.flatnonzero((c[1:-1] - c[:-2]) * (c[2:] - c[1:-1]) < 0) + 1
         if len(turn):

@@ -20,7 +20,7 @@ def labelled(points: DataFrame, as_of: DataFrame, count: int) -> DataFrame:
 
     idx_delta counts bars from the as-of bar, contiguous_delta is the change from the extremum before.
     """
-    rows = points.join(F.broadcast(as_of.select("series_id", "as_of_idx")), "series_id")
+    rows = points.join(as_of.select("series_id", "as_of_idx"), "series_id")
     rows = rows.withColumn("late", F.col("bar_idx") >= F.col("as_of_idx")).withColumn("idx_delta", F.col("bar_idx") - F.col("as_of_idx"))
     rows = rows.withColumn("label", F.row_number().over(Window.partitionBy("series_id", "late").orderBy(F.abs("idx_delta"))))
     rows = rows.where(F.col("label") <= count).withColumn("label", F.when(F.col("late"), F.col("label")).otherwise(-F.col("label")))
@@ -46,7 +46,8 @@ def neighbours(rows: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
 def alignment(signals: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Per bar the sum over cycles of the share of the way left to the next extremum: positive after a maximum, negative after a minimum.
 
-    weights (series_id, cycle_id, weight) multiply each cycle's share, by the sum of the series' weights.
+    weights (series_id, cycle_id, weight) multiply each cycle's share, by the sum of the series' weights, or by the
+    cycle's period if weights has that too.
     """
     by = ["series_id", "cycle_id"]
     rows = neighbours(signals.select(*by, "bar_idx"), turning_points(signals, "value", by), by)
@@ -54,6 +55,9 @@ def alignment(signals: DataFrame, weights: DataFrame | None = None) -> DataFrame
     rows = rows.withColumn("share", F.coalesce(share, F.lit(0.0)))
     if weights is None:
         return rows.groupBy("series_id", "bar_idx").agg(F.sum("share").alias("alignment"))
-    total = weights.groupBy("series_id").agg(F.sum("weight").alias("total"))
-    rows = rows.join(F.broadcast(weights.join(total, "series_id")), by)
+    if "period" in weights.columns:
+        weights = weights.select(*by, "weight", F.col("period").alias("total"))
+    else:
+        weights = weights.join(weights.groupBy("series_id").agg(F.sum("weight").alias("total")), "series_id")
+    rows = rows.join(weights, by)
     return rows.groupBy("series_id", "bar_idx").agg(F.sum(F.col("share") * F.col("weight") / F.col("total")).alias("alignment"))

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 def first_turns(points: DataFrame, as_of: DataFrame) -> DataFrame:
     """First maximum and first minimum after the as-of bar."""
-    later = points.join(F.broadcast(as_of.select("series_id", "as_of_idx")), "series_id").where("bar_idx > as_of_idx")
+    later = points.join(as_of.select("series_id", "as_of_idx"), "series_id").where("bar_idx > as_of_idx")
     return later.groupBy("series_id").agg(F.min(F.when(F.col("kind") == 1, F.col("bar_idx"))).alias("max_idx"), F.min(F.when(F.col("kind") == -1, F.col("bar_idx"))).alias("min_idx"))
 
 
-def trade(bars: DataFrame, turns: DataFrame) -> DataFrame:
+def trade(bars: DataFrame, turns: DataFrame, *by: str) -> DataFrame:
     """close one bar after the maximum less close one bar after the minimum; 0 if either is missing."""
     prices = bars.select("series_id", (F.col("bar_idx") - 1).alias("at"), "close")
     high = turns.join(prices.select("series_id", F.col("at").alias("max_idx"), F.col("close").alias("sold")), ["series_id", "max_idx"], "left")
     both = high.join(prices.select("series_id", F.col("at").alias("min_idx"), F.col("close").alias("bought")), ["series_id", "min_idx"], "left")
-    return both.select("series_id", "max_idx", "min_idx", F.coalesce(F.col("sold") - F.col("bought"), F.lit(0.0)).alias("pl"))
+    return both.select("series_id", *by, "max_idx", "min_idx", F.coalesce(F.col("sold") - F.col("bought"), F.lit(0.0)).alias("pl"))
 
 
 def fold(trades: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def per_series(bars: DataFrame, column: str, names: list[str], fn: Callable[[np.
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
         out = fn(pdf["value"].to_numpy(float))
-        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "bar_idx": pdf["bar_idx"].to_numpy(), **{n: pd.Series(x).astype(object).where(~np.isnan(x), None) for n, x in zip(names, out, strict=True)}})
+        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "bar_idx": pdf["bar_idx"].to_numpy(), **{n: pd.array(x, "Float64") for n, x in zip(names, out, strict=True)}})
 
     rows = bars.selectExpr("series_id", "bar_idx", f"cast({column} as double) as value")
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, bar_idx long, " + ", ".join(f"{n} double" for n in names))

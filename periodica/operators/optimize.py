@@ -12,6 +12,11 @@ import pandas as pd
 from ..functions import kernels as K
 
 
+def log_lambdas(low: float, high: float, n: int) -> list[int]:
+    """Distinct whole numbers, evenly spaced by their logarithms."""
+    return np.unique(np.logspace(np.log10(low), np.log10(high), n).astype(int)).tolist()
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     population: int = 40
@@ -21,12 +26,14 @@ class SearchConfig:
     phase_share: float = 0.10
     fitness: str = "mse"
     initial: str = "transform"
+    multiplier: float | None = None
+    crossover: str = "block"
 
     def __post_init__(self) -> None:
         if self.population < 2 or self.generations < 0:
             raise ValueError("population must be 2 at least, generations 0 at least")
-        if self.fitness not in ("mse", "extrema") or self.initial not in ("random", "middle", "transform"):
-            raise ValueError("unknown fitness or initial amplitudes")
+        if self.fitness not in ("mse", "extrema") or self.initial not in ("random", "middle", "transform") or self.crossover not in ("block", "two_point"):
+            raise ValueError("unknown fitness, initial amplitudes or crossover")
 
 
 def bounds(y: np.ndarray, cycles: pd.DataFrame, config: SearchConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +45,7 @@ def bounds(y: np.ndarray, cycles: pd.DataFrame, config: SearchConfig) -> tuple[n
 
 def objective(y: np.ndarray, cycles: pd.DataFrame, config: SearchConfig) -> Callable[[np.ndarray], float]:
     k, start = len(cycles), cycles["offset"].to_numpy()
-    return lambda x: K.cycle_loss(y, x[:k], x[k : 2 * k], x[2 * k :], start, config.fitness)
+    return lambda x: K.cycle_loss(y, x[:k], x[k : 2 * k], x[2 * k :], start, config.fitness, multiplier=config.multiplier)
 
 
 def seeded(cycles: pd.DataFrame, config: SearchConfig) -> np.random.Generator:
@@ -53,8 +60,8 @@ def start_point(y: np.ndarray, cycles: pd.DataFrame, config: SearchConfig, rng:
     return np.concatenate([amp, cycles["frequency"], cycles["phase"]])
 
 
-def genetic(lossfn, low, high, first, population, generations, rng) -> tuple[np.ndarray, float]:
-    """Elite of a quarter at most, tournaments of three, crossover and mutation by thirds (amplitudes, frequencies, phases); the best ever seen wins."""
+def genetic(lossfn, low, high, first, population, generations, rng, crossover: str = "block") -> tuple[np.ndarray, float]:
+    """Elite of a quarter at most, tournaments of three, crossover by thirds (amplitudes, frequencies, phases) or between two points, mutation by thirds; the best ever seen wins."""
     pool = rng.uniform(low, high, (population, len(low)))
     pool[0] = first
     loss = np.array([lossfn(x) for x in pool])
@@ -65,7 +72,10 @@ def genetic(lossfn, low, high, first, population, generations, rng) -> tuple[np.
         children = [pool[i].copy() for i in np.argsort(loss, kind="stable")[:elite]]
         while len(children) < population:
             a, b = pick().copy(), pick()
-            block = slice(third * (c := int(rng.integers(0, 3))), third * (c + 1))
+            if crossover == "block":
+                block = slice(third * (c := int(rng.integers(0, 3))), third * (c + 1))
+            else:
+                block = slice(*sorted(rng.integers(0, len(low) + 1, 2)))
             a[block] = b[block]
             block = slice(third * (c := int(rng.integers(0, 3))), third * (c + 1))
             hit = rng.random(len(a[block])) < 0.3
@@ -117,7 +127,8 @@ def fitter(search, config: SearchConfig = SearchConfig()) -> Callable[[np.ndarra
     def fit(y: np.ndarray, cycles: pd.DataFrame) -> pd.DataFrame:
         rng, k = seeded(cycles, config), len(cycles)
         low, high = bounds(y, cycles, config)
-        best, least = search(objective(y, cycles, config), low, high, start_point(y, cycles, config, rng), config.population, config.generations, rng)
+        extra = {"crossover": config.crossover} if search is genetic else {}
+        best, least = search(objective(y, cycles, config), low, high, start_point(y, cycles, config, rng), config.population, config.generations, rng, **extra)
         return cycles.assign(best_amplitude=best[:k], best_frequency=best[k : 2 * k], best_phase=best[2 * k :], loss=least)
 
     return fit

@@ -23,6 +23,14 @@ def sinusoids(cycles: DataFrame, n: int) -> DataFrame:
     return rows.select("series_id", "cycle_id", (F.col("start_idx") + F.col("t")).alias("bar_idx"), value.alias("value"))
 
 
+def recent_only(signals: DataFrame, cycles: DataFrame, last: DataFrame, multiplier: float) -> DataFrame:
+    """signals with 0 where a cycle lies further back than `multiplier` periods from the series' last_idx."""
+    frequency = F.coalesce("best_frequency", "frequency") if "best_frequency" in cycles.columns else F.col("frequency")
+    begin = cycles.select("series_id", "cycle_id", F.floor(F.lit(multiplier) / frequency).alias("length")).join(last.select("series_id", "last_idx"), "series_id")
+    rows = signals.join(begin.select("series_id", "cycle_id", (F.col("last_idx") + 1 - F.col("length")).alias("begin")), ["series_id", "cycle_id"])
+    return rows.select("series_id", "cycle_id", "bar_idx", F.when(F.col("bar_idx") >= F.col("begin"), F.col("value")).otherwise(0.0).alias("value"))
+
+
 def composite(signals: DataFrame) -> DataFrame:
     return signals.groupBy("series_id", "bar_idx").agg(F.sum("value").alias("composite"))
 
@@ -42,11 +50,17 @@ def fidelity(rows: DataFrame, signal: str, reference: str) -> DataFrame:
     )
 
 
-def scaled_to(rows: DataFrame, signal: str, reference: str, tail: int) -> DataFrame:
-    """signal fitted to reference by least squares (a + b * signal) over the last `tail` bars."""
+def scaled_to(rows: DataFrame, signal: str, reference: str, tail: int, method: str = "lsq") -> DataFrame:
+    """signal as a + b * signal, fitted to reference over the last `tail` bars: by least squares, or so that least and greatest values agree (`minmax`)."""
     last = F.max("bar_idx").over(Window.partitionBy("series_id"))
     at = rows.withColumn("last_idx", last).where(F.col("bar_idx") > F.col("last_idx") - tail)
-    fit = at.groupBy("series_id").agg(F.regr_slope(reference, signal).alias("b"), F.regr_intercept(reference, signal).alias("a"))
+    if method == "lsq":
+        fit = at.groupBy("series_id").agg(F.regr_slope(reference, signal).alias("b"), F.regr_intercept(reference, signal).alias("a"))
+    elif method == "minmax":
+        slope = (F.max(reference) - F.min(reference)) / F.nullif(F.max(signal) - F.min(signal), F.lit(0.0))
+        fit = at.groupBy("series_id").agg(slope.alias("b"), (F.min(reference) - slope * F.min(signal)).alias("a"))
+    else:
+        raise ValueError(f"unknown scaling: {method}")
     return rows.join(fit, "series_id").withColumn("fitted", F.col("a") + F.col("b") * F.col(signal))
 
 
@@ -56,7 +70,7 @@ def tail_mse(rows: DataFrame, signal: str, reference: str, start: int) -> DataFr
 
 def reestimated(reference: DataFrame, cycles: DataFrame) -> DataFrame:
     """cycles with amplitude and phase anew: the transform of reference (series_id, bar_idx, value) at each cycle's frequency from its start on."""
-    rows = reference.select("series_id", "bar_idx", "value").join(F.broadcast(cycles.select(*[F.col(c).alias(c) for c in ("series_id", "cycle_id", "frequency", "start_idx")])), "series_id").where(F.col("bar_idx") >= F.col("start_idx"))
+    rows = reference.select("series_id", "bar_idx", "value").join(cycles.select(*[F.col(c).alias(c) for c in ("series_id", "cycle_id", "frequency", "start_idx")]), "series_id").where(F.col("bar_idx") >= F.col("start_idx"))
     angle = 2 * math.pi * F.col("frequency") * (F.col("bar_idx") - F.col("start_idx"))
     sums = rows.groupBy("series_id", "cycle_id").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
     amp, phase = amplitude_phase(F.col("re"), F.col("im"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,27 +49,39 @@ def nearest_peaks(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def peak_rmse(nearest: DataFrame, period: float) -> DataFrame:
-    """Root mean square of the distances by the period; the period where there are no pairs."""
-    return nearest.groupBy("series_id").agg(F.coalesce(F.sqrt(F.avg(F.col("distance") * F.col("distance"))) / period, F.lit(float(period))).alias("phase_rmse"))
+    """Root mean square of the distances by the period; 1, a whole period, where there are no pairs."""
+    return nearest.groupBy("series_id").agg((F.coalesce(F.sqrt(F.avg(F.col("distance") * F.col("distance"))), F.lit(float(period))) / period).alias("phase_rmse"))
+
+
+def _gaps(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distance from each position of the larger set to the nearest one of the smaller; nothing if either is empty."""
+    few, many = sorted((one, other), key=len)
+    if not len(few):
+        return np.zeros(0)
+    after = np.searchsorted(few, many)
+    return np.minimum(np.abs(many - few[np.clip(after, 0, len(few) - 1)]), np.abs(many - few[np.clip(after - 1, 0, len(few) - 1)]))
 
 
 def correlation_scores(series: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
-    """For one series: Savitzky-Golay correlation, derivative correlation, phase error and peak ratio of every candidate."""
+    """For one series: the scores of every candidate against the difference of two Savitzky-Golay means, of one period and of two.
+
+    savgol_corr and derivative_corr (by the number of the sine's turning points) are integrals of products, phase_rmse the
+    distance of turning points, maxima to maxima and minima to minima, in periods (1 without any), peak_ratio the
+    difference of their numbers by the period.
+    """
     y = series.sort_values("m")["x"].to_numpy(float)
     n, out = len(y), []
     t = np.linspace(0, n, n)
     z = lambda v: (v - v.mean()) / (v.std() or 1.0)
     for p in peaks.itertuples():
-        period = p.period
-        sine = np.sin(2 * np.pi * p.frequency * t + p.phase)
-        order = 1 if period < 3 else 2
-        delta = K.savgol(y, max(1, int(period)), order) - K.savgol(y, max(1, int(2 * period)), order)
-        turn = max(1, int(period / 2))
-        tops = [np.array([i for i in range(1, n - 1) if v[i] > v[max(0, i - turn) : i].max() and v[i] > v[i + 1 : i + 1 + turn].max()]) for v in (sine, delta)]
-        few, many = sorted(tops, key=len)
-        gaps = np.array([np.abs(few - x).min() for x in many]) if len(few) else np.array([])
-        rmse = float(np.sqrt((gaps**2).mean()) / period) if len(gaps) else float(period)
-        out.append((p.series_id, p.k, K.simpson(z(sine) * z(delta)), K.simpson(z(np.diff(sine, prepend=sine[0])) * z(np.diff(delta, prepend=delta[0]))), rmse, len(many) / len(few) if len(few) else None))
+        sine = z(np.sin(2 * np.pi * p.frequency * t + p.phase))
+        delta = z(K.savgol(y, max(1, int(p.period)), 2) - K.savgol(y, max(1, int(2 * p.period)), 2))
+        (tops, lows), (tops_d, lows_d) = (K.turning_points(v, max(1, int(p.period / 2))) for v in (sine, delta))
+        gaps = np.concatenate([_gaps(tops, tops_d), _gaps(lows, lows_d)])
+        rmse = float(np.sqrt((gaps**2).mean())) / p.period if len(gaps) else 1.0
+        turns, turns_d = len(tops) + len(lows), len(tops_d) + len(lows_d)
+        slope = K.simpson(np.diff(sine, prepend=sine[:1]) * np.diff(delta, prepend=delta[:1]))
+        out.append((p.series_id, p.k, K.simpson(sine * delta), slope / turns if turns else None, rmse, abs(turns - turns_d) / p.period))
     return pd.DataFrame(out, columns=["series_id", "k", "savgol_corr", "derivative_corr", "phase_rmse", "peak_ratio"])
 
 
@@ -88,10 +98,3 @@ def dominant(candidates: DataFrame, count: int, by: str = "global_score") -> Dat
     w = Window.partitionBy("series_id").orderBy(F.desc_nulls_last(by), "k")
     kept = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
     return kept.withColumn("dominant_period", F.max("period").over(Window.partitionBy("series_id")))
-
-
-def significance(score: Column) -> Column:
-    return F.lit(1.0) - score
-
-
-TURN = 2 * math.pi

@@ -83,16 +83,13 @@ def offsets(spectral: DataFrame, n: int) -> DataFrame:
 
 
 def generalized_goertzel(x: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Complex results at fractional bins: the recursion ends with one more step that reads the last sample again."""
-    out = []
-    for b in np.atleast_1d(bins):
-        a = 2 * np.pi * b / len(x)
-        c, s1, s2 = 2 * np.cos(a), 0.0, 0.0
-        for v in x:
-            s1, s2 = v + c * s1 - s2, s1
-        s0 = x[-1] + c * s1 - s2
-        out.append((s0 - s1 * np.exp(-1j * a)) * np.exp(-1j * a * (len(x) - 1)))
-    return np.array(out)
+    """Complex results at fractional bins: the recursion ends with one more step that reads the last sample again; all bins run side by side."""
+    a = 2 * np.pi * np.atleast_1d(bins) / len(x)
+    c, s1, s2 = 2 * np.cos(a), np.zeros(len(a)), np.zeros(len(a))
+    for v in x:
+        s1, s2 = v + c * s1 - s2, s1
+    s0 = x[-1] + c * s1 - s2
+    return (s0 - s1 * np.exp(-1j * a)) * np.exp(-1j * a * (len(x) - 1))
 
 
 def local_extrema(rows: DataFrame, column: str, order: int, by: list[str], position: str) -> DataFrame:
@@ -126,7 +123,7 @@ def bartels(series: DataFrame, peaks: DataFrame, column: str, max_segments: int
     # positions count from the start of `series`
     rows = series.withColumn("x", F.row_number().over(Window.partitionBy("series_id").orderBy("bar_idx")) - 1).withColumn("n_all", F.count("*").over(Window.partitionBy("series_id")))
     length = F.floor("period").cast("long")
-    joined = rows.select("series_id", "x", "n_all", F.col(column).alias("v")).join(F.broadcast(peaks.select("series_id", "k", "period")), "series_id")
+    joined = rows.select("series_id", "x", "n_all", F.col(column).alias("v")).join(peaks.select("series_id", "k", "period"), "series_id")
     joined = joined.withColumn("segment", F.floor(F.col("x") / length)).withColumn("segments", F.least(F.floor(F.col("n_all") / length), F.lit(max_segments)))
     joined = joined.where("segment < segments")
     angle = 2 * math.pi * (F.col("x") + 1) / F.col("period")

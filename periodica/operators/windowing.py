@@ -47,6 +47,21 @@ def protective_cut(bars: DataFrame, bands: DataFrame) -> DataFrame:
     return rows.withColumn("bar_idx", F.row_number().over(in_order()).cast("long") - 1).drop("last_idx", "num_samples")
 
 
+def at_dates(bars: DataFrame, dates: DataFrame, keep: int) -> DataFrame:
+    """For each series and date (as_of) the last `keep` bars up to it, as a series of its own: series_id is series@date, bar_idx counts anew.
+
+    The last bar of each date comes from one sort of bars and dates together; then exactly the wanted bars are joined.
+    """
+    when = F.col("as_of").cast("timestamp_ntz")
+    asked = bars.select("series_id").distinct().crossJoin(F.broadcast(dates.select("as_of").distinct()))  # a row per series and date
+    both = bars.select("series_id", "ts", "bar_idx", F.lit(None).cast("string").alias("as_of")).unionByName(asked.select("series_id", when.alias("ts"), F.lit(None).cast("long").alias("bar_idx"), "as_of"))
+    order = Window.partitionBy("series_id").orderBy("ts", F.col("as_of").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.withColumn("last_idx", F.last("bar_idx", True).over(order)).where("as_of IS NOT NULL AND last_idx IS NOT NULL").select("series_id", "as_of", "last_idx")
+    wanted = at.withColumn("bar_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("last_idx") - keep + 1), F.col("last_idx"))))
+    rows = bars.join(wanted, ["series_id", "bar_idx"]).withColumn("bar_idx", F.col("bar_idx") - F.greatest(F.lit(0), F.col("last_idx") - keep + 1))
+    return rows.withColumn("series_id", F.concat_ws("@", "series_id", "as_of")).select(*bars.columns)
+
+
 def fill_null(bars: DataFrame, column: str) -> DataFrame:
     return bars.withColumn(column, F.coalesce(F.nanvl(F.col(column), F.lit(0.0)), F.lit(0.0)))
 
@@ -65,6 +80,7 @@ def bar_features(bars: DataFrame) -> DataFrame:
         (F.col("close") - F.col("high")).alias("ch"), (F.col("high") - F.col("open")).alias("ho"), (F.col("open") - F.col("low")).alias("ol"),
         ratio(F.col("high") - F.col("low"), F.col("volume")).alias("hl_volume"),
         ratio(F.col("close") - before["close"], F.col("volume") - before["volume"]).alias("dclose_dvolume"),
+        *[F.coalesce(F.col(c) - F.lag(c).over(in_order()), F.lit(0.0)).alias(f"d{c}") for c in ("open", "high", "low", "close", "volume")],
     )
 
 

@@ -152,7 +152,8 @@ def null_fill(spark, sf_dir):
 
 
 @query("""SELECT series_id, bar_idx, round(close - open, 6) AS co, round(high - low, 6) AS hl, round(close - low, 6) AS cl, round(close - high, 6) AS ch, round(high - open, 6) AS ho, round(open - low, 6) AS ol,
-    round((high - low) / nullif(volume, 0), 6) AS hl_volume, round((close - lag(close) OVER w) / nullif(volume - lag(volume) OVER w, 0), 6) AS dclose_dvolume
+    round((high - low) / nullif(volume, 0), 6) AS hl_volume, round((close - lag(close) OVER w) / nullif(volume - lag(volume) OVER w, 0), 6) AS dclose_dvolume, round(coalesce(open - lag(open) OVER w, 0), 6) AS dopen,
+    round(coalesce(high - lag(high) OVER w, 0), 6) AS dhigh, round(coalesce(low - lag(low) OVER w, 0), 6) AS dlow, round(coalesce(close - lag(close) OVER w, 0), 6) AS dclose, round(coalesce(volume - lag(volume) OVER w, 0), 6) AS dvolume
     FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx)""", "bars")
 def bar_features(spark, sf_dir):
     return _r(windowing.bar_features(_bars(spark, sf_dir)))
@@ -226,7 +227,20 @@ def band_pass(spark, sf_dir):
     return _r(kernel.band_pass(_bars(spark, sf_dir), "close", 1600.0, 20.0))
 
 
-@query()
+def _residual_sql(columns: int) -> str:
+    """Gram-Schmidt over x0 .. x(columns - 1) of src (series_id, bar_idx, y, x..): the last step's y is the least-squares residual."""
+    parts, names = [], [f"x{j}" for j in range(columns)] + ["y"]
+    for j in range(columns):
+        dot = lambda a: f"sum({a} * x{j}) OVER (PARTITION BY series_id) / nullif(sum(x{j} * x{j}) OVER (PARTITION BY series_id), 0)"  # noqa: B023, E731
+        parts.append(f"g{j + 1} AS (SELECT series_id, bar_idx, {', '.join(f'{a} - coalesce({dot(a)}, 0) * x{j} AS {a}' for a in names[j + 1 :])} FROM g{j})")
+    return ", ".join(parts)
+
+
+JH = """g0 AS (SELECT series_id, bar_idx, 1.0::DOUBLE AS x0, lag(close, 8) OVER w AS x1, lag(close, 9) OVER w AS x2, lag(close, 10) OVER w AS x3, lag(close, 11) OVER w AS x4, close AS y FROM bars
+    WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx) QUALIFY bar_idx >= 11)"""
+
+
+@query(f"WITH {JH}, {_residual_sql(5)} SELECT b.series_id, b.bar_idx, round(g.y, 6) AS detrended FROM bars b LEFT JOIN g5 g ON g.series_id = b.series_id AND g.bar_idx = b.bar_idx", "bars")
 def jh_filter(spark, sf_dir):
     return _r(kernel.jh_filter(_bars(spark, sf_dir), "close", 8, 4))
 
@@ -236,19 +250,31 @@ def lowess(spark, sf_dir):
     return _r(kernel.lowess_filter(_bars(spark, sf_dir), "close", 4, HIGH))
 
 
-def _savgol_sql(window: int) -> str:
-    c = (window - 1) / 2
-    x = np.arange(window) - c
-    solve = np.linalg.pinv(np.vander(x, 3, increasing=True))
-    inner = " + ".join(f"({float(solve[0][j])!r}) * lead(close, {j - window // 2}) OVER w" if j >= window // 2 else f"({float(solve[0][j])!r}) * lag(close, {window // 2 - j}) OVER w" for j in range(window))
-    return f"SELECT series_id, bar_idx, round({inner}, 6) AS smoothed FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx) QUALIFY bar_idx BETWEEN {window // 2} AND max(bar_idx) OVER (PARTITION BY series_id) - {window // 2}"
+#: A parabola by least squares over w bars: the weight of the bar that lies d from the window's centre, at e from the centre; sums of d**2 and d**4 in closed form.
+S2, S4 = "(w * (w * w - 1) / 12.0)", "(w * (w * w - 1) * (3 * w * w - 7) / 240.0)"
+WEIGHT = f"(({S4} - {S2} * d * d) / (w * {S4} - {S2} * {S2}) + e * d / {S2} + e * e * (w * d * d - {S2}) / (w * {S4} - {S2} * {S2}))"
+
+
+def _parabolas_sql(src: str, keys: str, i: str, y: str, window: str) -> str:
+    """SELECT keys, i, w and smoothed y of src, which has the window length, the number of bars n and the keys; edges follow the first and the last window."""
+    at = f"""SELECT {keys}, {i} AS i, {window} AS w, CASE WHEN {i} < {window} // 2 THEN 0 WHEN {i} >= n - {window} // 2 THEN n - {window} ELSE {i} - {window} // 2 + 1 - {window} % 2 END AS s,
+        CASE WHEN {i} < {window} // 2 THEN {i} - ({window} - 1) / 2.0 WHEN {i} >= n - {window} // 2 THEN {i} - (n - {window}) - ({window} - 1) / 2.0 ELSE 0 END AS e FROM {src}"""
+    same = " AND ".join(f"v.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
+    return f"""SELECT {keys}, i, w, sum(y * {WEIGHT}) AS smoothed FROM (SELECT {', '.join(f'p.{k.strip()}' for k in keys.split(','))}, p.i, p.w::DOUBLE AS w, p.e, v.{y} AS y, v.{i} - p.s - (p.w - 1) / 2.0 AS d
+        FROM ({at}) p JOIN {src} v ON {same} AND v.{i} BETWEEN p.s AND p.s + p.w - 1) GROUP BY ALL"""
 
 
-@query(_savgol_sql(11), "bars")
+COUNTED = "nb AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM bars)"
+
+
+@query(f"WITH {COUNTED} SELECT series_id, i AS bar_idx, round(smoothed, 6) AS smoothed FROM ({_parabolas_sql('nb', 'series_id', 'bar_idx', 'close', '11')})", "bars")
 def savgol(spark, sf_dir):
-    """Inner bars; edges follow the first and the last window's parabola."""
-    last = F.max("bar_idx").over(Window.partitionBy("series_id"))
-    return _r(kernel.savgol(_bars(spark, sf_dir), "close", 11).withColumn("last", last).where("bar_idx BETWEEN 5 AND last - 5").drop("last"))
+    return _r(kernel.savgol(_bars(spark, sf_dir), "close", 11))
+
+
+@query(f"WITH {COUNTED} SELECT series_id, i AS bar_idx, round(smoothed, 6) AS smoothed FROM ({_parabolas_sql('nb', 'series_id', 'bar_idx', 'close', '30')})", "bars")
+def savgol_even(spark, sf_dir):
+    return _r(kernel.savgol(_bars(spark, sf_dir), "close", 30))
 
 
 EMA = "SELECT series_id, bar_idx AS i, avg(y) OVER (PARTITION BY series_id ORDER BY bar_idx ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) AS e FROM {src}"
@@ -290,7 +316,11 @@ def freq_grid(spark, sf_dir):
     return spectrum.frequency_grid(spark, N, LOW, HIGH).select("k", F.round("frequency", 12).alias("frequency"), F.round("period", 9).alias("period"))
 
 
-@query("SELECT m, round(weight, 9) AS weight FROM (VALUES " + ", ".join(f"({i}::BIGINT, {w!r}::DOUBLE)" for i, w in enumerate(spectrum.kaiser(N, 8.0))) + ") t(m, weight)")
+#: The modified Bessel function of order 0 by its power series.
+BESSEL = "(SELECT sum(CASE WHEN j = 0 THEN 1 WHEN {0} <= 0 THEN 0 ELSE exp(2 * j * ln({0} / 2) - 2 * lgamma(j + 1)) END) FROM range(0, 60) s(j))"
+
+
+@query(f"SELECT m, round({BESSEL.format(f'(8 * sqrt(greatest(0, 1 - (2.0::DOUBLE * m / {N - 1} - 1) ** 2)))')} / {BESSEL.format('8.0::DOUBLE')}, 9) AS weight FROM range(0, {N}) t(m)")
 def kaiser_window(spark, sf_dir):
     rows = spark.range(N).select(F.col("id").alias("m"), F.lit(1.0).alias("one"))
     return spectrum.tapered(rows, "one", N, 8.0).select("m", F.round("tapered", 9).alias("weight"))
@@ -364,6 +394,47 @@ def local_extrema(spark, sf_dir):
     return spectrum.local_extrema(_bars(spark, sf_dir), "close", 10, ["series_id"], "bar_idx").where("is_max OR is_min").select("series_id", "bar_idx", "is_max", "is_min")
 
 
+#: Scores of every candidate against two smoothed means, from sums and joins alone.
+SCORES = f"""WITH pk AS (SELECT series_id, k, period, frequency, phase, floor(period)::BIGINT AS w1, floor(2 * period)::BIGINT AS w2, greatest(1, floor(period / 2))::BIGINT AS turn FROM kept),
+    px AS (SELECT p.*, m, x, {N} AS n FROM pk p JOIN wx USING (series_id)),
+    l AS ({_parabolas_sql('px', 'series_id, k', 'm', 'x', 'w2')}), s AS ({_parabolas_sql('px', 'series_id, k', 'm', 'x', 'w1')}),
+    raw AS (SELECT p.series_id, p.k, period, turn, p.m, sin({PI2} * frequency * (p.m * {N} / {N - 1}.0) + phase) AS a, s.smoothed - l.smoothed AS b FROM px p JOIN s ON s.series_id = p.series_id AND s.k = p.k AND s.i = p.m JOIN l ON l.series_id = p.series_id AND l.k = p.k AND l.i = p.m),
+    z AS (SELECT * REPLACE ((a - avg(a) OVER g) / stddev_pop(a) OVER g AS a, (b - avg(b) OVER g) / stddev_pop(b) OVER g AS b) FROM raw WINDOW g AS (PARTITION BY series_id, k)),
+    c AS (SELECT *, coalesce(a - lag(a) OVER g, 0) AS da, coalesce(b - lag(b) OVER g, 0) AS db,
+      CASE WHEN m >= {N - 1} THEN 0 WHEN m = 0 OR m = {N - 2} THEN 1 / 3.0::DOUBLE WHEN m % 2 = 1 THEN 4 / 3.0::DOUBLE ELSE 2 / 3.0::DOUBLE END + CASE WHEN m >= {N - 2} THEN 0.5 ELSE 0 END AS u FROM z WINDOW g AS (PARTITION BY series_id, k ORDER BY m)),
+    o AS (SELECT series_id, k, period, sum(a * b * u) AS corr, sum(da * db * u) AS slope FROM c GROUP BY ALL),
+    v AS (SELECT series_id, k, turn, 'a' AS sig, m, a AS v FROM z UNION ALL SELECT series_id, k, turn, 'b', m, b FROM z),
+    e AS (SELECT p.series_id, p.k, p.sig, p.m, p.v > max(q.v) FILTER (q.m < p.m) AND p.v > max(q.v) FILTER (q.m > p.m) AS top, p.v < min(q.v) FILTER (q.m < p.m) AND p.v < min(q.v) FILTER (q.m > p.m) AS low
+      FROM v p JOIN v q ON q.series_id = p.series_id AND q.k = p.k AND q.sig = p.sig AND q.m BETWEEN p.m - p.turn AND p.m + p.turn AND q.m <> p.m GROUP BY p.series_id, p.k, p.sig, p.m, p.v),
+    t AS (SELECT series_id, k, sig, m, CASE WHEN top THEN 1 ELSE -1 END AS kind FROM e WHERE top OR low),
+    n AS (SELECT series_id, k, kind, count(*) FILTER (sig = 'a') AS na, count(*) FILTER (sig = 'b') AS nb FROM t GROUP BY ALL),
+    d AS (SELECT r.series_id, r.k, r.kind, r.m, min(abs(r.m - f.m)) AS gap FROM t r JOIN n USING (series_id, k, kind) JOIN t f ON f.series_id = r.series_id AND f.k = r.k AND f.kind = r.kind AND f.sig <> r.sig WHERE r.sig = CASE WHEN nb >= na THEN 'b' ELSE 'a' END GROUP BY ALL),
+    f AS (SELECT series_id, k, sqrt(avg(gap * gap)) AS rmse FROM d GROUP BY ALL), h AS (SELECT series_id, k, sum(na) AS na, sum(nb) AS nb FROM n GROUP BY ALL)
+    SELECT o.series_id, o.k, round(corr, 4) AS savgol_corr, round(slope / nullif(coalesce(na, 0), 0), 5) AS derivative_corr, round(coalesce(rmse / period, 1), 6) AS phase_rmse, round(abs(coalesce(na, 0) - coalesce(nb, 0)) / period, 6) AS peak_ratio
+    FROM o LEFT JOIN f USING (series_id, k) LEFT JOIN h USING (series_id, k)"""
+
+
+@query(SCORES, "kept")
+def cycle_scores(spark, sf_dir):
+    found = score.scored(_win(spark, sf_dir), _kept(spark, sf_dir))
+    return found.select("series_id", "k", F.round("savgol_corr", 4).alias("savgol_corr"), F.round("derivative_corr", 5).alias("derivative_corr"), F.round("phase_rmse", 6).alias("phase_rmse"), F.round("peak_ratio", 6).alias("peak_ratio"))
+
+
+LAMBDA_10 = float(1 / (16 * math.sin(math.pi / 10) ** 4))
+
+
+@query(f"""RECURSIVE WITH {SRC}, {_hp_sql(1600.0, 'a')}, {_hp_sql(LAMBDA_10, 'b')}, {_hp_sql(6400.0, 'c')} SELECT s.series_id, bar_idx, round(y - a.t, 6) AS without, round(b.t - a.t, 6) AS fastest, round(a.t - c.t, 6) AS neighbour
+    FROM src s JOIN ar a ON a.series_id = s.series_id AND a.i = s.bar_idx JOIN br b ON b.series_id = s.series_id AND b.i = s.bar_idx JOIN cr c ON c.series_id = s.series_id AND c.i = s.bar_idx""", "bars")
+def band_pass_default(spark, sf_dir):
+    """Without a fast cutoff nothing is taken off; of several bands the fastest has one from its shortest period, others their neighbour's lambda."""
+    b = _bars(spark, sf_dir)
+    known = spark.createDataFrame([(0, 10.0, 30.0, 1600.0), (1, 30.0, 60.0, 6400.0)], "band int, min_period double, max_period double, hp_lambda double")
+    fast = {r["band"]: r["lambda_min"] for r in windowing.band_lambdas(known).collect()}
+    one = lambda lam, low, name: analysis.detrended(b, "close", DetrendConfig("band_pass", lam, low), 60).withColumnRenamed("detrended", name)
+    out = one(1600.0, None, "without").join(one(1600.0, fast[0], "fastest"), ["series_id", "bar_idx"]).join(one(6400.0, fast[1], "neighbour"), ["series_id", "bar_idx"])
+    return _r(out)
+
+
 # cycles over time
 
 
@@ -489,6 +560,73 @@ def calendar_intraday(spark, sf_dir):
     return calendar.extend_intraday(_bars(spark, sf_dir), 40).withColumn("step", F.col("step").cast("long"))
 
 
+FUTURE = f"""r AS (SELECT series_id, ts, ts::DATE AS day, {KIND.format('ts')} AS kind, max(ts::DATE) OVER (PARTITION BY series_id) AS last FROM bars),
+    m AS (SELECT * FROM (SELECT *, max(day) OVER (PARTITION BY series_id, kind) AS model FROM r WHERE day < last) WHERE day = model),
+    w AS (SELECT DISTINCT series_id, isodow(ts) AS d FROM bars), f AS (SELECT l.series_id, last + i::INT AS day FROM (SELECT DISTINCT series_id, last FROM r) l, range(1, {7 * N + 8}) t(i)),
+    g AS (SELECT f.series_id, f.day + (m.ts - m.day::TIMESTAMP) AS ts FROM f JOIN w ON w.series_id = f.series_id AND w.d = isodow(f.day) JOIN m ON m.series_id = f.series_id AND m.kind = {KIND.format('f.day')}),
+    later AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS step, ts FROM g QUALIFY step <= {N}),
+    times AS (SELECT series_id, bar_idx, ts, false AS is_projected FROM bars UNION ALL SELECT series_id, step + last_idx, ts, true FROM later JOIN (SELECT series_id, max(bar_idx) AS last_idx FROM bars GROUP BY 1) USING (series_id))"""
+
+
+@query(f"WITH {FUTURE} SELECT series_id, bar_idx, round(composite, 5) AS composite, ts, is_projected FROM comp JOIN times USING (series_id, bar_idx)", "comp")
+def projected_calendar(spark, sf_dir):
+    """The composite with times: of bars, and of the calendar's next ones."""
+    waves = rebuild.composite(rebuild.sinusoids(_cycles(spark, sf_dir), N))
+    return _r(analysis.projected(_bars(spark, sf_dir), waves, N), 5)
+
+
+@query(f"""WITH c AS (SELECT * FROM waves JOIN (SELECT series_id, k AS cycle_id, period FROM top) USING (series_id, cycle_id) JOIN (SELECT DISTINCT series_id, start_idx, last_idx FROM win) USING (series_id)),
+    s AS (SELECT series_id, bar_idx, sum(CASE WHEN bar_idx > last_idx - floor(1.5 * period) THEN value ELSE 0 END) AS y FROM c WHERE bar_idx <= last_idx GROUP BY ALL)
+    SELECT series_id, round(avg((y - x) ** 2), 3) AS loss, count(*) AS n FROM wx JOIN s USING (series_id, bar_idx) GROUP BY 1""", "comp")
+def recent_loss(spark, sf_dir):
+    """Squared error of a composite whose cycles count in their last one and a half periods only, unscaled."""
+    cycles, win = _cycles(spark, sf_dir), _win(spark, sf_dir)
+    last = win.groupBy("series_id").agg(F.max("bar_idx").alias("last_idx"))
+    waves = rebuild.composite(rebuild.recent_only(rebuild.sinusoids(cycles, N), cycles, last, 1.5))
+    rows = win.select("series_id", "bar_idx", "x").join(waves, ["series_id", "bar_idx"])
+    return rows.groupBy("series_id").agg(F.round(F.avg((F.col("composite") - F.col("x")) ** 2), 3).alias("loss"), F.count("*").alias("n"))
+
+
+@query("""WITH j AS (SELECT w.series_id, bar_idx, composite, x, last_idx FROM wx w JOIN comp USING (series_id, bar_idx)),
+    f AS (SELECT series_id, (max(x) - min(x)) / (max(composite) - min(composite)) AS b, min(x) AS lo, min(composite) AS c FROM j WHERE bar_idx > last_idx - 64 GROUP BY 1) SELECT series_id, bar_idx, round(lo + b * (composite - c), 5) AS fitted FROM j JOIN f USING (series_id)""", "comp")
+def scale_minmax(spark, sf_dir):
+    rows = _win(spark, sf_dir).select("series_id", "bar_idx", "x").join(rebuild.composite(rebuild.sinusoids(_cycles(spark, sf_dir), N)), ["series_id", "bar_idx"])
+    return _r(rebuild.scaled_to(rows, "composite", "x", 64, "minmax").select("series_id", "bar_idx", "fitted"), 5)
+
+
+@query(KPI + ", t AS (SELECT series_id, k AS cycle_id, period FROM top) SELECT series_id, bar_idx, round(sum(share * weight / period), 5) AS alignment FROM h JOIN t USING (series_id, cycle_id) GROUP BY ALL", "waves")
+def alignment_by_period(spark, sf_dir):
+    c = _cycles(spark, sf_dir)
+    return _r(align.alignment(rebuild.sinusoids(c, N), c.select("series_id", "cycle_id", F.col("amplitude").alias("weight"), "period")), 5)
+
+
+@query("SELECT DISTINCT trunc(10 ** (1 + i * 4 / 29.0::DOUBLE))::BIGINT AS hp_lambda FROM range(0, 30) r(i)")
+def lambda_sequence(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in optimize.log_lambdas(10, 100000, 30)], "hp_lambda long")
+
+
+DATES = ["2024-01-18 12:00:00", AS_OF, "2024-01-25 00:30:00"]
+
+
+@query(f"""WITH d AS (SELECT unnest({DATES!r}) AS as_of), a AS (SELECT series_id, as_of, max(bar_idx) AS last FROM bars, d WHERE ts <= as_of::TIMESTAMP GROUP BY ALL)
+    SELECT series_id || '@' || as_of AS series_id, ts, close, bar_idx - greatest(0, last - 39) AS bar_idx FROM bars JOIN a USING (series_id) WHERE bar_idx BETWEEN last - 39 AND last""", "bars")
+def bars_at_dates(spark, sf_dir):
+    return windowing.at_dates(_bars(spark, sf_dir), spark.createDataFrame([(d,) for d in DATES], "as_of string"), 40).select("series_id", "ts", "close", "bar_idx")
+
+
+@query("""WITH l AS (SELECT t.*, bar_idx - as_of_idx AS idx_delta, bar_idx >= as_of_idx AS late, as_of_idx FROM turns t JOIN asofs USING (series_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY series_id, late ORDER BY abs(idx_delta)) AS n FROM l), k AS (SELECT *, CASE WHEN late THEN n ELSE -n END AS label FROM r WHERE n <= 3),
+    v AS (SELECT k.*, abs(value - lag(value) OVER (PARTITION BY series_id ORDER BY bar_idx)) AS contiguous_delta FROM k),
+    x AS (SELECT v.*, CASE WHEN idx_delta <= 0 THEN value - w.x END AS error FROM v LEFT JOIN wx w ON w.series_id = v.series_id AND w.bar_idx = v.bar_idx),
+    u AS (SELECT series_id, label, unnest(['idx_delta', 'kind', 'value', 'contiguous_delta', 'error']) AS metric, unnest([idx_delta::DOUBLE, kind::DOUBLE, value, contiguous_delta, error]) AS metric_value FROM x)
+    SELECT series_id, label, metric, round(metric_value, 5) AS metric_value FROM u UNION ALL
+    SELECT a.series_id, 0, 'trend', coalesce((SELECT CASE WHEN kind = -1 THEN 1 ELSE -1 END FROM x WHERE x.series_id = a.series_id AND label = -1), -1)::DOUBLE FROM asofs a""", "asofs")
+def minmax_features(spark, sf_dir):
+    """Turning points of the composite around the as-of bar, with their errors against the detrended window, and the trend."""
+    rows = rebuild.composite(rebuild.sinusoids(_cycles(spark, sf_dir), N)).join(_win(spark, sf_dir).select("series_id", "bar_idx", "x"), ["series_id", "bar_idx"], "left")
+    return _r(analysis.min_max_features(rows, "composite", _as_of(spark, sf_dir), 3, "x").withColumn("label", F.col("label").cast("long")), 5)
+
+
 # trades, parameters, tables
 
 
@@ -618,6 +756,28 @@ def features_by_date(spark, sf_dir):
     return _r(analysis.features_for_dates(_bars(spark, sf_dir), ["2024-01-18 12:00:00", AS_OF], None, MULTI), 5)
 
 
+@query()
+def feature_row(spark, sf_dir):
+    """One wide row per series and date."""
+    return _r(analysis.feature_rows(_bars(spark, sf_dir), DATES[:2], MULTI), 5)
+
+
+@query()
+def scaled_outputs(spark, sf_dir):
+    return _r(analysis.analyze_bands(_bars(spark, sf_dir), MULTI).outputs, 5)
+
+
+@query()
+def fidelity_of_fit(spark, sf_dir):
+    return analysis.analyze_bands(_bars(spark, sf_dir), MULTI).fidelity
+
+
+@query()
+def hyper_search_mse(spark, sf_dir):
+    """Bands compared by the mean loss of their fits over dates."""
+    return _r(analysis.hyper_search(_bars(spark, sf_dir), [Band(N, 2, 16, 40, 1600.0), Band(96, 1, 8, 16, 65.0)], DATES[:2], MULTI, "mse"), 5)
+
+
 @query()
 def plot_lines(spark, sf_dir):
     b = _bars(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def save(spark: SparkSession, rows: DataFrame, folder: str, name: str, version:
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, without its lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names, or that was set on the context.
+
+    Only a local session gets a temporary folder where neither is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="periodica-checkpoint-"))
+    return df.checkpoint()
+
+
 def append_dates(rows: DataFrame, path: str) -> None:
     """Append features, partitioned by as_of."""
     rows.write.mode("append").partitionBy("as_of").parquet(path)
