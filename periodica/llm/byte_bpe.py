@@ -25,7 +25,7 @@ class PrefixBPE:
     For every prefix of the input there is exactly one last token that its own encoding can end in: the
     one that is valid beside the last token of what precedes it. `extend` stores that token per prefix,
     so bytes can be appended without looking back further than the longest token, and `splice`
-    re-encodes after an edit from the edited place on.
+    re-encodes near an edit only.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -73,11 +73,12 @@ class PrefixBPE:
                 limit, right = right + 1, second[0]
 
     def extend(self, data: bytes, last: list[int], start: int) -> list[int]:
-        """Fill last[i], the last token of the encoding of data[: i + 1], for i from start on."""
+        """Fill last[i], the last token of the encoding of data[: i + 1], for i from start to the end of data."""
         last[start:] = [-1] * (len(data) - start)
-        known = self._fits
-        for end, (token, size) in self.ends.iter(data.decode("latin-1"), max(0, start - self.longest)):
-            if last[end] < 0:  # a prefix has one such token only
+        known, near = self._fits, max(0, start - self.longest)
+        for end, (token, size) in self.ends.iter(data[near:].decode("latin-1")):
+            end += near
+            if end >= start and last[end] < 0:  # a prefix has one such token only
                 if size <= end:
                     before = last[end - size]
                     if before < 0:
@@ -107,9 +108,26 @@ class PrefixBPE:
         return [whole] if whole is not None else self.walk(self.extend(data, [], 0))
 
     def splice(self, data: bytes, last: list[int], at: int, removed: int, added: bytes) -> tuple[bytes, list[int]]:
-        """Replace data[at : at + removed]; prefixes that end before `at` keep their tokens."""
+        """Replace data[at : at + removed]; prefixes that end before `at` keep their tokens.
+
+        A prefix's last token follows from its last bytes and the last tokens of the prefixes that end within them. So once as many
+        new tokens behind the edit as the longest token has bytes are the old ones, all further ones are.
+        """
+        old, shift = last[at + removed :], at + len(added)
         data = data[:at] + added + data[at + removed :]
-        return data, self.extend(data, last[:at], at)
+        out, done, step = last[:at], shift, 4 * self.longest
+        while done < len(data):
+            end = min(len(data), done + step)
+            self.extend(data[:end], out, len(out))
+            same = 0
+            for i in range(end - 1, shift - 1, -1):
+                if out[i] != old[i - shift]:
+                    break
+                same += 1
+            if same >= self.longest:
+                return data, out + old[end - shift :]
+            done, step = end, 2 * step
+        return data, self.extend(data, out, len(out)) if len(out) < len(data) else out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -28,8 +28,8 @@ def _quoted(text: str) -> str:
 
 
 def _prf(key: str, kind: str, turn: str, value: str) -> str:
-    """A keyed 60-bit number."""
-    return f"cast(conv(substr(sha2(concat_ws(':', {_quoted(key)}, '{kind}', {turn}, {value}, {_quoted(key)}), 256), 1, 15), 16, 10) as bigint)"
+    """A keyed 60-bit number. `key` is SQL, as in all functions below: a column's name, so that the key itself is in no plan."""
+    return f"cast(conv(substr(sha2(concat_ws(':', {key}, '{kind}', {turn}, {value}, {key}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def feistel(key: str, kind: str, a: str, b: str, size_a: str, size_b: str, back: bool = False) -> str:
@@ -113,12 +113,19 @@ def _intl(key: str) -> str:
 
 
 def _iban(key: str) -> str:
-    """IBANs whose check digits hold (modulo 97, piecewise) are replaced by a keyed one of the same country and length with valid check digits."""
+    """IBANs whose check digits hold (modulo 97, piecewise) keep country, length and letters; their digits are permuted, and the check digits follow."""
     plain = "replace(m, ' ', '')"
     spread = "array_join(transform(split({0}, ''), c -> if(c rlike '[A-Z]', cast(ascii(c) - 55 as string), c)), '')"
     modulo = "aggregate(split({0}, ''), 0, (s, c) -> if(c = '', s, (s * 10 + cast(c as int)) % 97))"
     valid = modulo.format(spread.format("concat(substr(p, 5), substr(p, 1, 4))")) + " = 1"
-    body = f"array_join(transform(sequence(5, length(p)), i -> if(substr(p, i, 1) between '0' and '9', cast(pmod({_prf(key, 'iban', 'i', 'p')}, 10) as string), substr(p, i, 1))), '')"
+    # the digits of the account are permuted in blocks of at most sixteen, each with the country, the letters and the earlier blocks as its tweak
+    high, low = "cast(pow(10, length(x) - length(x) div 2) as bigint)", "cast(pow(10, length(x) div 2) as bigint)"
+    kind = "iban', concat(substr(p, 1, 2), length(p), regexp_replace(substr(p, 5), '[0-9]', '#'), ':', y), '"
+    turned = feistel(key, kind, f"cast(x as bigint) div {low}", f"cast(x as bigint) % {low}", high, low)
+    block = _with(turned, "t", "concat(lpad(cast(t.a as string), length(x) - length(x) div 2, '0'), if(length(x) < 2, '', lpad(cast(t.b as string), length(x) div 2, '0')))")
+    blocks = f"aggregate(sequence(0, (length(d) - 1) div 16), '', (y, n) -> concat(y, {_with('substr(d, n * 16 + 1, 16)', 'x', block)}))"
+    fresh = _with("regexp_replace(substr(p, 5), '[^0-9]', '')", "d", f"if(d = '', '', {blocks})")
+    body = _with(fresh, "g", "array_join(transform(sequence(5, length(p)), i -> if(substr(p, i, 1) between '0' and '9', substr(g, length(regexp_replace(substr(p, 5, i - 4), '[^0-9]', '')), 1), substr(p, i, 1))), '')")
     check = "lpad(cast(98 - " + modulo.format(spread.format("concat(b, substr(p, 1, 2), '00')")) + " as string), 2, '0')"
     whole = _with(body, "b", f"concat(substr(p, 1, 2), {check}, b)")
     fill = "array_join(transform(sequence(1, length(m)), i -> if(substr(m, i, 1) = ' ', ' ', substr(w, length(replace(substr(m, 1, i), ' ', '')), 1))), '')"
@@ -127,7 +134,7 @@ def _iban(key: str) -> str:
 
 def _alias(key: str, kind: str, value: str) -> str:
     """Hexadecimal characters of a keyed digest, as many as the value has, 64 at most."""
-    return f"substr(sha2(concat_ws(':', {_quoted(key)}, '{kind}', {value}, {_quoted(key)}), 256), 1, greatest(8, length({value})))"
+    return f"substr(sha2(concat_ws(':', {key}, '{kind}', {value}, {key}), 256), 1, greatest(8, length({value})))"
 
 
 def _pseudonym(key: str) -> str:
@@ -152,14 +159,16 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_found, n_replaced of every row of documents, in one pass without a shuffle.
 
     Card numbers (Luhn), social security numbers, phone numbers, IPv4 addresses and dates are permuted
-    within their format by a keyed Feistel network, so that equal values become equal pseudonyms in all
-    documents and different ones stay different; e-mail names, keys and secrets become keyed digests of
-    the same kind of characters, IBANs keyed ones with valid check digits. Matches that fail their
+    within their format by a keyed Feistel network, as are the digits of IBANs, whose check digits follow, so that equal values become equal pseudonyms in all
+    documents and different ones stay different; e-mail names, keys and secrets, which have no fixed form, become keyed digests of
+    the same kind of characters. Matches that fail their
     validation (a false Luhn digit, an octet over 255, no such day) are found, but stay. A null text is
-    empty; repeated rows and null doc_ids give a row each; an empty table gives no rows.
+    empty; repeated rows and null doc_ids give a row each; very long texts are read whole; only doc_id and text are read, so other
+    columns may have any names; an empty table gives no rows. The key is a scalar subquery's value: plans and event logs don't show it.
     """
     pattern = _quoted("|".join(f"(?:{x})" for x in PATTERNS.values()))
-    rows = texts(documents).withColumn("m", F.expr(f"if(text rlike '[0-9@=:]', regexp_extract_all(text, {pattern}, 0), cast(array() as array<string>))"))
-    rows = rows.withColumn("made", F.expr(f"transform(m, m -> {_pseudonym(key)})"))
+    secret = documents.sparkSession.createDataFrame([(key,)], "k string").scalar()
+    rows = texts(documents, secret.alias("pii_key")).withColumn("m", F.expr(f"if(text rlike '[0-9@=:]|AKIA|ASIA', regexp_extract_all(text, {pattern}, 0), cast(array() as array<string>))"))
+    rows = rows.withColumn("made", F.expr(f"transform(m, m -> {_pseudonym('pii_key')})"))
     joined = F.expr(f"if(size(m) = 0, text, array_join(flatten(zip_with(split(text, {pattern}, -1), made, (p, x) -> array(p, x))), ''))")
     return rows.select("doc_id", joined.alias("text"), F.size("m").cast("long").alias("n_found"), F.expr("cast(size(filter(zip_with(m, made, (x, y) -> x <> y), z -> z)) as bigint)").alias("n_replaced"))
