@@ -1,9 +1,10 @@
 """Substring dedup on the de Bruijn graph of word windows.
 
-Edges are k-mers of `width` words; an edge's ends are its first and last width - 1 words. Edges are
-shuffled as super-k-mers (windows.py), paths inside which every node has one way on. Repeated paths are
-joined to their first source, neighbouring ones that run along the same source are compacted into
-spans, and each span's words are compared with the words at the source coordinates.
+Edges are k-mers of `width` words; an edge's ends, the nodes, are its first and last width - 1 words. Edges are
+shuffled as super-k-mers (windows.py), stretches of neighbouring edges with one anchor. Repeated stretches are
+joined to their first source; where one is always followed by the same next one, and that one always
+preceded by it, the node between them does not branch, and joins compact both into one path. The words of
+every occurrence of a path are compared with those at its source coordinates.
 """
 
 from __future__ import annotations
@@ -20,34 +21,90 @@ from .windows import Anchors, Units, later_windows, opened, repeated_runs
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """Join edges (doc_id, first, n, source_doc, source_first) that follow each other both in a document and in its source.
-
-    Where a document and the source go on alike, the path between has no branch that matters: it becomes
-    one span (doc_id, first, n, source_doc, source_first). Windows are per document.
-    """
+    """Join windows (doc_id, first, n, source_doc, source_first) that follow each other both in a document and in its source into one span. Windows are per document."""
     order = Window.partitionBy("doc_id").orderBy("first")
     same = (F.lag("source_doc").over(order) == F.col("source_doc")) & (F.lag(F.col("source_first") + F.col("n")).over(order) == F.col("source_first")) & (F.lag(F.col("first") + F.col("n")).over(order) == F.col("first"))
     parts = edges.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return parts.groupBy("doc_id", "path").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n"), F.min("source_doc").alias("source_doc"), F.min("source_first").alias("source_first")).drop("path")
 
 
-def verified(scratch: Scratch, spans: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The spans whose words are those at their source coordinates, by SHA-256 of both."""
-    asked = spans.select("doc_id", "first", "n").union(spans.select("source_doc", "source_first", "n")).distinct()
-    asked = scratch.table(asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("asked")))
+def unbranched(scratch: Scratch, runs: DataFrame) -> DataFrame:
+    """runs (doc_id, first, n, source_doc, source_first) that are not their own source, compacted along paths without a branch.
+
+    A stretch of edges is named by its source. Its out-degree is the number of different stretches, or ends, that follow its
+    occurrences, its in-degree that of those before them. A link leads from a stretch with out-degree one to the one behind, if
+    that has in-degree one. Every stretch finds the head of its path by pointer doubling: each round joins the
+    stretches that have not reached a head with those they point to. An occurrence of a path is whole, so that
+    grouping by the place where it begins puts it together.
+    """
+    name = F.struct("source_doc", "source_first")
+    sources = runs.select(F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n", "source_doc", "source_first").distinct()
+    all_runs = runs.union(sources)
+    order = Window.partitionBy("doc_id").orderBy("first", "n")
+    after = F.when(F.lead("first").over(order) == F.col("first") + F.col("n"), F.lead(name).over(order))
+    before = F.when(F.lag(F.col("first") + F.col("n")).over(order) == F.col("first"), F.lag(name).over(order))
+    near = all_runs.select("doc_id", "first", "n", name.alias("path"), after.alias("after"), before.alias("before"))
+    one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    nodes = scratch.table(near.groupBy("path", "n").agg(F.when(one("after"), F.min("after")).alias("after"), F.coalesce(one("before"), F.lit(False)).alias("single_in")))
+    links = nodes.where("after IS NOT NULL").select(F.col("after").alias("path"), F.col("path").alias("to"), F.col("n").cast("long").alias("offset"))
+    pointers = scratch.table(links.join(nodes.where("single_in").select("path"), "path"))
+    settled = None
+    while True:
+        to = pointers.select(F.col("path").alias("to"), F.col("to").alias("further"), F.col("offset").alias("more"))
+        joined = scratch.table(pointers.join(to, "to", "left"))
+        done = joined.where("further IS NULL").select("path", "to", "offset")
+        settled = done if settled is None else settled.union(done)
+        # those that already point to a head leave; others may still need them
+        pointers = joined.where("further IS NOT NULL").select("path", F.col("further").alias("to"), (F.col("offset") + F.col("more")).alias("offset"))
+        if pointers.isEmpty():
+            break
+        pointers = scratch.table(pointers.union(done.select("path", "to", "offset")))
+        if pointers.count() == done.count():
+            break
+    heads = scratch.table(settled.groupBy("path").agg(F.max_by("to", "offset").alias("to"), F.max("offset").alias("offset")))
+    spans = runs.withColumn("path", name).join(heads, "path", "left")
+    spans = spans.select("doc_id", "n", F.coalesce("to", "path").alias("path"), "first", (F.col("first") - F.coalesce("offset", F.lit(0))).alias("start"))
+    return spans.groupBy("doc_id", "path", "start").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).select("doc_id", "first", "n", F.col("path.source_doc").alias("source_doc"), (F.col("path.source_first") + F.col("first") - F.col("start")).cast("int").alias("source_first"))
+
+
+def digests(scratch: Scratch, places: DataFrame, rows: DataFrame, width: int, words: bool) -> DataFrame:
+    """places (doc_id, first, n) with the SHA-256 of the units that their windows cover, as a table."""
+    asked = scratch.table(places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("asked")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            out = []
+        for batch in pieces(batches, "text", 1 << 20):
+            docs, firsts, sizes, found = [], [], [], []
             for doc, text, spans in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "asked")), strict=True):
-                units = Units(text.encode(), True)
-                out += [(doc, x["first"], x["n"], hashlib.sha256(units.slice(x["first"], x["n"] + width - 1)).digest()) for x in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "first", "n", "digest"])
+                units = Units(text.encode(), words)
+                for x in spans:
+                    docs.append(doc)
+                    firsts.append(x["first"])
+                    sizes.append(x["n"])
+                    found.append(hashlib.sha256(units.slice(x["first"], x["n"] + width - 1)).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "first", "n", "digest"])
 
     some = maybe(rows, "doc_id", asked).where("maybe").select("doc_id", "text")
-    digests = scratch.table(some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, digest binary"))
-    source = digests.select(F.col("doc_id").alias("source_doc"), F.col("first").alias("source_first"), "n", F.col("digest").alias("source_digest"))
-    return spans.join(digests, ["doc_id", "first", "n"]).join(source, ["source_doc", "source_first", "n"]).where("digest = source_digest").select("doc_id", "first", "n")
+    return scratch.table(some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, digest binary"))
+
+
+def verified(scratch: Scratch, spans: DataFrame, rows: DataFrame, width: int, words: bool) -> DataFrame:
+    """doc_id, first, n of the spans (doc_id, first, n, source_doc, source_first) whose units are those at their source, by SHA-256 of both.
+
+    A span that differs, by a collision of hashes, is taken apart: its windows and their sources are compared by their own
+    digests, and those with an equal, earlier one are kept. Equal windows always have equal hashes, so none is missed.
+    """
+    spans = scratch.table(spans)
+    own = digests(scratch, spans.select("doc_id", "first", "n").union(spans.select("source_doc", "source_first", "n")), rows, width, words)
+    source = own.select(F.col("doc_id").alias("source_doc"), F.col("first").alias("source_first"), "n", F.col("digest").alias("source_digest"))
+    checked = scratch.table(spans.join(own, ["doc_id", "first", "n"]).join(source, ["source_doc", "source_first", "n"]).select(*spans.columns, (F.col("digest") == F.col("source_digest")).alias("equal")))
+    good, bad = checked.where("equal").select("doc_id", "first", "n"), checked.where("NOT equal")
+    if bad.isEmpty():
+        return good
+    each = bad.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    places = each.select("doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")).union(each.select("source_doc", F.col("source_first") + F.col("i"), F.lit(1)))
+    own = digests(scratch, places, rows, width, words)
+    firsts = own.groupBy("digest").agg(F.min(F.struct("doc_id", "first")).alias("least"))
+    return good.union(own.join(firsts, "digest").where("struct(doc_id, first) <> least").select("doc_id", "first", "n"))
 
 
 def dedup_words(documents: DataFrame, width: int = 20, gram: int = 8, kept_text: bool = False) -> DataFrame:
@@ -56,16 +113,17 @@ def dedup_words(documents: DataFrame, width: int = 20, gram: int = 8, kept_text:
     A word is removed if a window of `width` words that covers it also starts earlier: in a smaller
     doc_id, or earlier in the same document. Windows are judged on the input. Words are runs of anything
     but ASCII white space, unchanged. A null or empty text has none, and a text of fewer than `width`
-    words loses none. Of rows that repeat a doc_id the one with the least text counts, and a null doc_id
-    comes before any other. An empty table gives no rows.
+    words loses none. Rows that share a doc_id are documents of their own, in the order of their texts' hashes, and of equal
+    rows all but one lose their repeats; null doc_ids come before any other. Very long texts are read whole, in blocks of windows.
+    Only doc_id and text are read, so other columns may have any names. An empty table gives no rows.
     """
     rows = one_row_each(documents)
     anchors = Anchors(width, gram, True)
     with Scratch(documents.sparkSession) as scratch:
         moved, varied = repeated_runs(scratch, rows, anchors)
-        edges = moved.union(later_windows(scratch, scratch.table(opened(varied, anchors))).select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first"))
-        spans = scratch.table(compact(edges))
-        spans = scratch.result(verified(scratch, spans, rows, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+        single = later_windows(scratch, scratch.table(opened(varied, anchors))).select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first")
+        found = unbranched(scratch, scratch.table(moved)).union(compact(single))
+        spans = scratch.result(verified(scratch, found, rows, width, True).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     return without(rows, spans, width, True, kept_text)
 
 

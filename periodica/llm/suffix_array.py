@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, one_row_each
-from .substring_dedup import without
+from .substring_dedup import compact, verified, without
 from .windows import Anchors, later_windows, opened, repeated_runs
 
 #: An anchor bucket with more different contexts than this is not one task's: its windows are spread by their contents.
@@ -114,13 +114,13 @@ def dedup_bytes(documents: DataFrame, width: int = 100, gram: int = 32, task_lab
 
     A byte is removed if a string of `width` bytes that covers it also starts earlier: in a smaller
     doc_id, or earlier in the same document. Overlaps count, strings are judged on the input, and
-    matches never cross documents. Null texts are empty, texts shorter than `width` lose nothing. Of rows
-    that repeat a doc_id the one with the least text counts, and a null doc_id comes before any other. An
-    empty table gives no rows.
+    matches never cross documents. Null texts are empty, texts shorter than `width` lose nothing. Rows that share a doc_id are
+    documents of their own, in the order of their texts' hashes; null doc_ids come before any other. Very long texts are read
+    whole, in blocks of windows. Only doc_id and text are read, so other columns may have any names. An empty table gives no rows.
 
-    Copies of a whole run of windows are settled by their first source. Different runs of one anchor
-    bucket are refined together in one task; a bucket with more than task_labels different runs is opened
-    into windows that are dealt by content, which gives the same result for any number of them.
+    Copies of a whole run of windows go to their first source, and their bytes are compared with those there. Different runs of
+    one anchor bucket are refined together in one task; a bucket with more than task_labels different runs is too much for
+    one, and is opened into windows that are dealt by content and compared with their sources as well: the same result, for any number.
     """
     rows = one_row_each(documents)
     anchors = Anchors(width, gram, False)
@@ -129,6 +129,7 @@ def dedup_bytes(documents: DataFrame, width: int = 100, gram: int = 32, task_lab
         varied = scratch.table(varied)
         refined = repeated_in_buckets(varied.where(F.col("labels") <= task_labels), width)
         spread = later_windows(scratch, scratch.table(opened(varied.where(F.col("labels") > task_labels), anchors)))
-        found = moved.select("doc_id", "first", "n").union(refined).union(spread.select("doc_id", "first", F.lit(1).alias("n")))
+        hashed = moved.union(spread.select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first"))
+        found = verified(scratch, compact(hashed), rows, width, False).union(refined)
         spans = scratch.result(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     return without(rows, spans, width, False, kept_text)

@@ -148,7 +148,7 @@ def _scan(rows: DataFrame, anchors: Anchors, bits) -> DataFrame:
                 whole = (units.slice(a, b) for a, b in zip(first.tolist(), (n + anchors.width - 1).tolist(), strict=True))
                 label = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(key)).view(np.int64)
                 lead = np.zeros(len(key), bool)
-                lead[np.unique(key * np.int64(0x9E3779B1) ^ label, return_index=True)[1]] = True
+                lead[np.unique(np.stack([key, label, n.astype(np.int64)]), axis=1, return_index=True)[1]] = True
                 out.append((key, label, np.full(len(key), doc), first, n, lead))
             if out:
                 key, label, doc, first, n, lead = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -189,9 +189,9 @@ def repeated_runs(scratch: Scratch, rows: DataFrame, anchors: Anchors) -> tuple[
     spark = rows.sparkSession
     keys = scratch.table(_keys(rows, anchors).groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
     found = scratch.table(_scan(rows, anchors, spark.sparkContext.broadcast(_bits(keys))))
-    firsts = found.groupBy("key", "label").agg(F.min("doc_id").alias("source_doc"), F.expr("min_by(first, doc_id) FILTER (WHERE lead)").alias("source_first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    firsts = found.groupBy("key", "label", "n").agg(F.min("doc_id").alias("source_doc"), F.expr("min_by(first, doc_id) FILTER (WHERE lead)").alias("source_first"), F.count("*").alias("copies"))
     firsts = scratch.table(firsts)
-    moved = found.join(firsts.where("copies > 1").drop("n"), ["key", "label"]).where("doc_id <> source_doc OR first <> source_first")
+    moved = found.join(firsts.where("copies > 1"), ["key", "label", "n"]).where("doc_id <> source_doc OR first <> source_first")
     several = firsts.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1")
     varied = firsts.join(several, "key").select("key", "labels", F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n")
     return moved.select("doc_id", "first", "n", "source_doc", "source_first"), _contexts(scratch, rows, anchors, varied)

@@ -136,6 +136,30 @@ def test_repeated_bytes_go(docs, rows, limit):
     assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_windows(rows, 100, False)
 
 
+def test_colliding_hashes_lose_and_remove_nothing(spark, docs, rows, monkeypatch):
+    """Labels that hardly tell runs apart: every copy is found to differ from its source or not by its own units."""
+    from periodica.llm import windows
+
+    class Weak:
+        xxh3_64_intdigest = staticmethod(lambda data: 5)
+        xxh3_128_digest = staticmethod(xxhash.xxh3_128_digest)
+
+    monkeypatch.setattr(windows, "xxhash", Weak)
+    got = as_dict(substring_dedup.dedup_words(docs, width=20, gram=2))
+    assert {d: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_windows(rows, 20, True)
+    got = as_dict(suffix_array.dedup_bytes(docs, width=100, gram=8))
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_windows(rows, 100, False)
+
+
+def test_paths_without_branches_are_compacted(spark):
+    """Three documents share a path of forty stretches; a fourth leaves it in the middle."""
+    runs = [(doc, 10 * doc + 3 * i, 3, 0, 5 + 3 * i) for doc in (1, 2) for i in range(40)] + [(3, 3 * i, 3, 0, 5 + 3 * i) for i in range(17)]
+    df = spark.createDataFrame(runs, "doc_id long, first int, n int, source_doc long, source_first int")
+    with common.Scratch(spark) as scratch:
+        got = sorted(map(tuple, substring_dedup.unbranched(scratch, df).collect()))
+    assert got == [(1, 10, 51, 0, 5), (1, 61, 69, 0, 56), (2, 20, 51, 0, 5), (2, 71, 69, 0, 56), (3, 0, 51, 0, 5)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_refined_buckets_are_equal_substrings(seed):
     r = np.random.default_rng(seed)
