@@ -28,63 +28,67 @@ def compact(edges: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "path").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n"), F.min("source_doc").alias("source_doc"), F.min("source_first").alias("source_first")).drop("path")
 
 
-def unbranched(scratch: Scratch, runs: DataFrame) -> DataFrame:
-    """runs (doc_id, first, n, source_doc, source_first) that are not their own source, compacted along paths without a branch.
+def unbranched(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """runs (doc_id, first, n, source_doc, source_first) compacted along paths without a branch; sources are the same of the runs that are their own source.
 
     A stretch of edges is named by its source. Its out-degree is the number of different stretches, or ends, that follow its
-    occurrences, its in-degree that of those before them. A link leads from a stretch with out-degree one to the one behind, if
-    that has in-degree one. Every stretch finds the head of its path by pointer doubling: each round joins the
-    stretches that have not reached a head with those they point to. An occurrence of a path is whole, so that
-    grouping by the place where it begins puts it together.
+    occurrences, its in-degree that of those before them. A join links a stretch with out-degree one to the one behind, if
+    that has in-degree one. Then every occurrence goes on, the first one too, so that a path's sources lie one behind the other: the
+    unlinked stretches of a source document begin its paths. Occurrences of a path are whole, so that grouping by the place where it
+    begins puts them together.
     """
     name = F.struct("source_doc", "source_first")
-    sources = runs.select(F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n", "source_doc", "source_first").distinct()
-    all_runs = runs.union(sources)
     order = Window.partitionBy("doc_id").orderBy("first", "n")
     after = F.when(F.lead("first").over(order) == F.col("first") + F.col("n"), F.lead(name).over(order))
     before = F.when(F.lag(F.col("first") + F.col("n")).over(order) == F.col("first"), F.lag(name).over(order))
-    near = all_runs.select("doc_id", "first", "n", name.alias("path"), after.alias("after"), before.alias("before"))
+    near = runs.union(sources).select("n", name.alias("path"), after.alias("after"), before.alias("before"))
     one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-    nodes = scratch.table(near.groupBy("path", "n").agg(F.when(one("after"), F.min("after")).alias("after"), F.coalesce(one("before"), F.lit(False)).alias("single_in")))
-    links = nodes.where("after IS NOT NULL").select(F.col("after").alias("path"), F.col("path").alias("to"), F.col("n").cast("long").alias("offset"))
-    pointers = scratch.table(links.join(nodes.where("single_in").select("path"), "path"))
-    settled = None
-    while True:
-        to = pointers.select(F.col("path").alias("to"), F.col("to").alias("further"), F.col("offset").alias("more"))
-        joined = scratch.table(pointers.join(to, "to", "left"))
-        done = joined.where("further IS NULL").select("path", "to", "offset")
-        settled = done if settled is None else settled.union(done)
-        # those that already point to a head leave; others may still need them
-        pointers = joined.where("further IS NOT NULL").select("path", F.col("further").alias("to"), (F.col("offset") + F.col("more")).alias("offset"))
-        if pointers.isEmpty():
-            break
-        pointers = scratch.table(pointers.union(done.select("path", "to", "offset")))
-        if pointers.count() == done.count():
-            break
-    heads = scratch.table(settled.groupBy("path").agg(F.max_by("to", "offset").alias("to"), F.max("offset").alias("offset")))
-    spans = runs.withColumn("path", name).join(heads, "path", "left")
-    spans = spans.select("doc_id", "n", F.coalesce("to", "path").alias("path"), "first", (F.col("first") - F.coalesce("offset", F.lit(0))).alias("start"))
-    return spans.groupBy("doc_id", "path", "start").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).select("doc_id", "first", "n", F.col("path.source_doc").alias("source_doc"), (F.col("path.source_first") + F.col("first") - F.col("start")).cast("int").alias("source_first"))
-
-
-def digests(scratch: Scratch, places: DataFrame, rows: DataFrame, width: int, words: bool) -> DataFrame:
-    """places (doc_id, first, n) with the SHA-256 of the units that their windows cover, as a table."""
-    asked = scratch.table(places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("asked")))
+    nodes = near.groupBy("path", "n").agg(F.when(one("after"), F.min("after")).alias("after"), F.coalesce(one("before"), F.lit(False)).alias("single_in"))
+    links = nodes.where("after IS NOT NULL").select(F.col("after").alias("path"), F.lit(True).alias("linked"))
+    joined = nodes.join(links, "path", "left").select("path.source_doc", "path.source_first", (F.col("single_in") & F.coalesce("linked", F.lit(False))).alias("linked"))
+    along = Window.partitionBy("source_doc").orderBy("source_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = joined.select("source_doc", "source_first", F.max(F.when(~F.col("linked"), F.col("source_first"))).over(along).alias("head"))
+    spans = runs.join(heads, ["source_doc", "source_first"]).withColumn("start", F.col("first") - F.col("source_first") + F.col("head"))
+    spans = spans.groupBy("doc_id", "source_doc", "head", "start").agg(F.sum("n").cast("int").alias("n"))
+    return spans.select("doc_id", F.col("start").alias("first"), "n", "source_doc", F.col("head").alias("source_first"))
+
+
+def _listed(column: pa.ListArray) -> Iterator[zip]:
+    """For each row of a list of structs, tuples of its fields."""
+    ends, fields = column.offsets.to_pylist(), [x.to_pylist() for x in column.values.flatten()]
+    null = column.is_null().to_pylist()
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        yield zip(*(x[a:b] for x in fields), strict=True) if not null[i] else ()
+
+
+def digests(rows: DataFrame, asked: DataFrame, width: int, words: bool) -> DataFrame:
+    """doc_id, first, n, source_doc, source_first, digest: SHA-256 of the units that the asked windows of each text cover.
+
+    asked: doc_id, own (spans with their sources), places (spans that others have as a source; their source comes out null). One pass over the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            docs, firsts, sizes, found = [], [], [], []
-            for doc, text, spans in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "asked")), strict=True):
-                units = Units(text.encode(), words)
-                for x in spans:
-                    docs.append(doc)
-                    firsts.append(x["first"])
-                    sizes.append(x["n"])
-                    found.append(hashlib.sha256(units.slice(x["first"], x["n"] + width - 1)).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "first", "n", "digest"])
+            out, found = [], []
+            for doc, text, own, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), _listed(batch.column("own")), _listed(batch.column("places")), strict=True):
+                units = Units(text.as_buffer().to_pybytes(), words)
+                for x in [*own, *((first, n, None, None) for first, n in places)]:
+                    out.append((doc, *x))
+                    found.append(hashlib.sha256(units.slice(x[0], x[1] + width - 1)).digest())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "first", "n", "source_doc", "source_first", "digest"])
 
+    bounded(rows.sparkSession)
     some = maybe(rows, "doc_id", asked).where("maybe").select("doc_id", "text")
-    return scratch.table(some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, digest binary"))
+    return some.join(asked, "doc_id").mapInArrow(run, "doc_id long, first int, n int, source_doc long, source_first int, digest binary")
+
+
+def _asked(own: DataFrame) -> DataFrame:
+    """doc_id, own, places from doc_id, own: the distinct sources of all spans, by their document, beside each document's own spans."""
+    places = own.select(F.explode("own").alias("x")).select("x.source_doc", "x.source_first", "x.n").distinct()
+    places = places.groupBy(F.col("source_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("source_first").alias("first"), "n")).alias("places"))
+    return own.join(places, "doc_id", "full")
 
 
 def verified(scratch: Scratch, spans: DataFrame, rows: DataFrame, width: int, words: bool) -> DataFrame:
@@ -93,18 +97,20 @@ def verified(scratch: Scratch, spans: DataFrame, rows: DataFrame, width: int, wo
     A span that differs, by a collision of hashes, is taken apart: its windows and their sources are compared by their own
     digests, and those with an equal, earlier one are kept. Equal windows always have equal hashes, so none is missed.
     """
-    spans = scratch.table(spans)
-    own = digests(scratch, spans.select("doc_id", "first", "n").union(spans.select("source_doc", "source_first", "n")), rows, width, words)
-    source = own.select(F.col("doc_id").alias("source_doc"), F.col("first").alias("source_first"), "n", F.col("digest").alias("source_digest"))
-    checked = scratch.table(spans.join(own, ["doc_id", "first", "n"]).join(source, ["source_doc", "source_first", "n"]).select(*spans.columns, (F.col("digest") == F.col("source_digest")).alias("equal")))
+    struct = F.struct("first", "n", F.col("source_doc").cast("long").alias("source_doc"), F.col("source_first").cast("int").alias("source_first"))
+    own = scratch.table(spans.groupBy("doc_id").agg(F.collect_list(struct).alias("own")))
+    found = scratch.table(digests(rows, scratch.table(_asked(own)), width, words))
+    source = found.where("source_doc IS NULL").select(F.col("doc_id").alias("source_doc"), F.col("first").alias("source_first"), "n", F.col("digest").alias("source_digest"))
+    checked = scratch.table(found.where("source_doc IS NOT NULL").join(source, ["source_doc", "source_first", "n"]).select("doc_id", "first", "n", "source_doc", "source_first", (F.col("digest") == F.col("source_digest")).alias("equal")))
     good, bad = checked.where("equal").select("doc_id", "first", "n"), checked.where("NOT equal")
     if bad.isEmpty():
         return good
     each = bad.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    places = each.select("doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")).union(each.select("source_doc", F.col("source_first") + F.col("i"), F.lit(1)))
-    own = digests(scratch, places, rows, width, words)
-    firsts = own.groupBy("digest").agg(F.min(F.struct("doc_id", "first")).alias("least"))
-    return good.union(own.join(firsts, "digest").where("struct(doc_id, first) <> least").select("doc_id", "first", "n"))
+    places = each.select("doc_id", (F.col("first") + F.col("i")).alias("first")).union(each.select("source_doc", F.col("source_first") + F.col("i"))).distinct()
+    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("first", F.lit(1).alias("n"))).alias("places")).withColumn("own", F.lit(None).cast(own.schema["own"].dataType))
+    single = scratch.table(digests(rows, scratch.table(places), width, words))
+    firsts = single.groupBy("digest").agg(F.min(F.struct("doc_id", "first")).alias("least"))
+    return good.union(single.join(firsts, "digest").where("struct(doc_id, first) <> least").select("doc_id", "first", "n"))
 
 
 def dedup_words(documents: DataFrame, width: int = 20, gram: int = 8, kept_text: bool = False) -> DataFrame:
@@ -120,9 +126,9 @@ def dedup_words(documents: DataFrame, width: int = 20, gram: int = 8, kept_text:
     rows = one_row_each(documents)
     anchors = Anchors(width, gram, True)
     with Scratch(documents.sparkSession) as scratch:
-        moved, varied = repeated_runs(scratch, rows, anchors)
+        moved, sources, varied = repeated_runs(scratch, rows, anchors)
         single = later_windows(scratch, scratch.table(opened(varied, anchors))).select("doc_id", "first", F.lit(1).alias("n"), "source_doc", "source_first")
-        found = unbranched(scratch, scratch.table(moved)).union(compact(single))
+        found = unbranched(scratch.table(moved), sources).union(compact(single))
         spans = scratch.result(verified(scratch, found, rows, width, True).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     return without(rows, spans, width, True, kept_text)
 
@@ -135,9 +141,9 @@ def without(rows: DataFrame, spans: DataFrame, width: int, words: bool, kept_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out = []
-            for doc, text, spans in zip(*(batch.column(x).to_pylist() for x in ("own_id", "text", "spans")), strict=True):
-                units, kept, at, removed, runs = Units(text.encode(), words), [], 0, 0, 0
-                for first, n in sorted((x["first"], x["n"]) for x in spans or ()):
+            for doc, text, spans in zip(batch.column("own_id").to_pylist(), batch.column("text"), _listed(batch.column("spans")), strict=True):
+                units, kept, at, removed, runs = Units(text.as_buffer().to_pybytes(), words), [], 0, 0, 0
+                for first, n in sorted(spans):
                     if first > at or not runs:
                         runs += 1
                         if first > at:

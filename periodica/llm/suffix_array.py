@@ -125,7 +125,7 @@ def dedup_bytes(documents: DataFrame, width: int = 100, gram: int = 32, task_lab
     rows = one_row_each(documents)
     anchors = Anchors(width, gram, False)
     with Scratch(documents.sparkSession) as scratch:
-        moved, varied = repeated_runs(scratch, rows, anchors)
+        moved, _, varied = repeated_runs(scratch, rows, anchors)
         varied = scratch.table(varied)
         refined = repeated_in_buckets(varied.where(F.col("labels") <= task_labels), width)
         spread = later_windows(scratch, scratch.table(opened(varied.where(F.col("labels") > task_labels), anchors)))

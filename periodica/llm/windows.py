@@ -148,7 +148,7 @@ def _scan(rows: DataFrame, anchors: Anchors, bits) -> DataFrame:
                 whole = (units.slice(a, b) for a, b in zip(first.tolist(), (n + anchors.width - 1).tolist(), strict=True))
                 label = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(key)).view(np.int64)
                 lead = np.zeros(len(key), bool)
-                lead[np.unique(np.stack([key, label, n.astype(np.int64)]), axis=1, return_index=True)[1]] = True
+                lead[np.unique((key * np.int64(0x9E3779B1) ^ label) * np.int64(0x85EBCA6B) ^ n, return_index=True)[1]] = True
                 out.append((key, label, np.full(len(key), doc), first, n, lead))
             if out:
                 key, label, doc, first, n, lead = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -164,9 +164,10 @@ def _contexts(scratch: Scratch, rows: DataFrame, anchors: Anchors, runs: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
             out = []
-            for doc, text, asked in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "asked")), strict=True):
-                units = Units(text.encode(), anchors.words)
-                out += [(x["key"], x["labels"], doc, x["first"], x["n"], units.slice(x["first"], x["n"] + anchors.width - 1)) for x in asked]
+            ends, fields = batch.column("asked").offsets.to_pylist(), [x.to_pylist() for x in batch.column("asked").values.flatten()]
+            for doc, text, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("text"), ends, ends[1:], strict=False):
+                units = Units(text.as_buffer().to_pybytes(), anchors.words)
+                out += [(key, labels, doc, first, n, units.slice(first, n + anchors.width - 1)) for key, labels, first, n in zip(*(x[a:b] for x in fields), strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "labels", "doc_id", "first", "n", "context"])
 
@@ -176,12 +177,13 @@ def _contexts(scratch: Scratch, rows: DataFrame, anchors: Anchors, runs: DataFra
     return some.join(asked, "doc_id").mapInArrow(run, "key long, labels long, doc_id long, first int, n int, context binary")
 
 
-def repeated_runs(scratch: Scratch, rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFrame]:
-    """For rows (doc_id, text), one per doc_id: whole runs with an earlier copy, and the first copies that may hold repeated windows.
+def repeated_runs(scratch: Scratch, rows: DataFrame, anchors: Anchors) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (doc_id, text), one per doc_id: whole runs with an earlier copy, the first copies of these, and the first copies that may hold repeated windows.
 
     First result: doc_id, first, n, source_doc, source_first. Every window of such a run also starts in its source.
-    Second: key, labels (of the key), doc_id, first, n, context: the first copy of each run whose anchor has different runs too.
-    A window whose first occurrence is not in the second result occurs in its own run's copies only.
+    Second: the same columns, of the sources themselves.
+    Third: key, labels (of the key), doc_id, first, n, context: the first copy of each run whose anchor has different runs too.
+    A window whose first occurrence is not in the third result occurs in its own run's copies only.
 
     First pass: which keys come more than once. Second pass: only runs with such keys (and a few that
     the filter lets through) are shuffled. The units of runs are fetched last, for first copies alone.
@@ -194,7 +196,8 @@ def repeated_runs(scratch: Scratch, rows: DataFrame, anchors: Anchors) -> tuple[
     moved = found.join(firsts.where("copies > 1"), ["key", "label", "n"]).where("doc_id <> source_doc OR first <> source_first")
     several = firsts.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1")
     varied = firsts.join(several, "key").select("key", "labels", F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n")
-    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), _contexts(scratch, rows, anchors, varied)
+    sources = firsts.where("copies > 1").select(F.col("source_doc").alias("doc_id"), F.col("source_first").alias("first"), "n", "source_doc", "source_first")
+    return moved.select("doc_id", "first", "n", "source_doc", "source_first"), sources, _contexts(scratch, rows, anchors, varied)
 
 
 def opened(runs: DataFrame, anchors: Anchors) -> DataFrame:
