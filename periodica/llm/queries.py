@@ -48,7 +48,8 @@ def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.dedup_bytes(_table(spark, sf_dir, "documents"), width=100)
+    out = suffix_array.dedup_bytes(_table(spark, sf_dir, "documents"), width=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,20 @@ k AS (SELECT doc_id, len(words) AS n, coalesce(len(gone), 0) AS r, [words[i] FOR
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+
+#: Bytes as pairs of hexadecimal digits; a 100-byte string is 200 of these.
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, hx FROM w WHERE n >= 100),
+h AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 200)) AS h FROM s),
+l AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+g AS (SELECT *, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+k AS (SELECT doc_id, string_agg(substr(hx, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed FROM p JOIN w USING (doc_id) GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept || substr(hx, 2 * last + 1), hx))) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_de_bruijn_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_de_bruijn_dedup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}

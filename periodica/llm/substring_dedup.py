@@ -44,7 +44,7 @@ def unbranched(runs: DataFrame, sources: DataFrame) -> DataFrame:
     near = runs.union(sources).select("n", name.alias("path"), after.alias("after"), before.alias("before"))
     one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
     nodes = near.groupBy("path", "n").agg(F.when(one("after"), F.min("after")).alias("after"), F.coalesce(one("before"), F.lit(False)).alias("single_in"))
-    links = nodes.where("after IS NOT NULL").select(F.col("after").alias("path"), F.lit(True).alias("linked"))
+    links = nodes.where("after IS NOT NULL").select(F.col("after").alias("path"), F.lit(True).alias("linked")).distinct()
     joined = nodes.join(links, "path", "left").select("path.source_doc", "path.source_first", (F.col("single_in") & F.coalesce("linked", F.lit(False))).alias("linked"))
     along = Window.partitionBy("source_doc").orderBy("source_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = joined.select("source_doc", "source_first", F.max(F.when(~F.col("linked"), F.col("source_first"))).over(along).alias("head"))

@@ -28,20 +28,16 @@ BLOCK_BYTES = 4 << 20
 def refine(data: np.ndarray, depth: int) -> np.ndarray:
     """For each position with `depth` bytes from it on, a number that equal substrings of that length share.
 
-    Buckets start as 4-grams. In each round a suffix of a shared bucket is sorted by its bucket pointer
+    Buckets start as 8-grams. In each round a suffix of a shared bucket is sorted by its bucket pointer
     and the pointer of the suffix that starts where its known prefix ends. Suffixes alone in their
     bucket are final: they keep their pointer and leave the sort, but others go on reading it.
     """
     n = len(data)
     if n < depth:
         return np.zeros(0, np.int64)
-    known = 4 if depth >= 4 else 1
-    if known == 4:
-        head = data[: n - 3].astype(np.int64)
-        for i in range(1, 4):
-            head = head << 8 | data[i : n - 3 + i]
-    else:
-        head = data.astype(np.int64)
+    known = 8 if depth >= 8 else 1
+    data = np.ascontiguousarray(data)
+    head = np.ndarray((n - known + 1,), np.uint64, data, strides=(1,)).copy() if known == 8 else data.astype(np.int64)
     _, pointer = np.unique(head, return_inverse=True)
     pointer = pointer.astype(np.int64)
     while known < depth:
@@ -50,7 +46,7 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
         own, later = pointer[:size], pointer[step : step + size]
         members = np.bincount(own)
         shared = np.flatnonzero(members[own] > 1)
-        order = shared[np.lexsort((later[shared], own[shared]))]
+        order = shared[np.argsort(own[shared] * n + later[shared])]  # both are less than n
         # pointers stay ordered: bucket b's members get numbers from the start of b on
         starts = np.concatenate([[0], np.cumsum(members)])[:-1]
         refined = starts[own]
@@ -72,11 +68,10 @@ def _block(rows: list[tuple], width: int) -> pa.RecordBatch | None:
     at = np.concatenate([[0], np.cumsum([len(x[4]) for x in rows])])[:-1]
     n = np.array([x[3] for x in rows])
     where = np.repeat(at - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    own = pointer[where]
-    _, seen = np.unique(own, return_index=True)  # the first is the earliest, as rows are in order
-    later = np.ones(len(own), bool)
-    later[seen] = False
-    found = np.flatnonzero(later)
+    own, number = pointer[where], np.arange(len(where))
+    seen = np.empty(len(pointer), np.int64)
+    seen[own[::-1]] = number[::-1]  # the last one written is the earliest, as rows are in order
+    found = np.flatnonzero(seen[own] != number)
     if not len(found):
         return None
     doc = np.repeat(np.array([x[1] for x in rows]), n)[found]

@@ -160,6 +160,14 @@ def test_paths_without_branches_are_compacted(spark):
     assert got == [(1, 10, 51, 0, 5), (1, 61, 69, 0, 56), (2, 20, 51, 0, 5), (2, 71, 69, 0, 56), (3, 0, 51, 0, 5)]
 
 
+def test_paths_that_meet_in_one_stretch_stay_apart(spark):
+    """Two stretches are always followed by the same third one, which so has two ways in."""
+    sources = [(0, 0, 3, 0, 0), (0, 3, 4, 0, 3), (0, 50, 2, 0, 50)]
+    runs = [(1, 10, 3, 0, 0), (1, 13, 4, 0, 3), (2, 7, 2, 0, 50), (2, 9, 4, 0, 3), (0, 52, 4, 0, 3)]
+    schema = "doc_id long, first int, n int, source_doc long, source_first int"
+    got = sorted(map(tuple, substring_dedup.unbranched(spark.createDataFrame(runs, schema), spark.createDataFrame(sources, schema)).collect()))
+    assert got == sorted(runs)
+
 @pytest.mark.parametrize("seed", range(5))
 def test_refined_buckets_are_equal_substrings(seed):
     r = np.random.default_rng(seed)
