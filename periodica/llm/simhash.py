@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, bounded, components, cut, maybe, one_row_each, pieces, texts, without_rows
+from .common import LOWER, Scratch, bounded, components, cut, maybe, one_row_each, pieces, table, texts, without_rows
 
 SEED = 42
 
@@ -271,11 +271,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     comes out null, and component_id is null only for a group without any. Very long texts are read whole, in pieces
     of whole rows. Other columns are not read. An empty table gives no rows.
     """
-    return _near(one_row_each(documents), words, similarity, distance).select(F.col("own_id").alias("doc_id"), F.col("own_component").alias("component_id"))
+    found = _near(one_row_each(documents), words, similarity, distance)
+    least = table(found.groupBy("component").agg(F.min("own_id").alias("component_id")))
+    return found.join(least, "component").select(F.col("own_id").alias("doc_id"), "component_id")
 
 
 def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> DataFrame:
-    """doc_id (the key), own_id, component (a key), own_component of rows (doc_id, own_id, text)."""
+    """doc_id (the key), own_id, component (its least key) of rows (doc_id, own_id, text)."""
     with Scratch(rows.sparkSession) as scratch:
         each = scratch.table(_sets(rows, words, similarity))
         nodes = scratch.table(each.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "own", "fp"), "doc_id").alias("x")).select("id", "content", "x.*"))
@@ -303,9 +305,7 @@ def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> Data
             joined = more.join(ends[0], "a").join(ends[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
             merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
             of = of.join(merged, "component", "left").select("id", "content", F.coalesce("merged", "component").alias("component"))
-        out = each.select("doc_id", "own_id", "content").join(of.select("content", "component"), "content").select("doc_id", "own_id", "component")
-        least = out.groupBy("component").agg(F.min("own_id").alias("own_component"))
-        return scratch.result(out.join(least, "component"))
+        return scratch.result(each.select("doc_id", "own_id", "content").join(of.select("content", "component"), "content").select("doc_id", "own_id", "component"))
 
 
 def keep_one_per_group(documents: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = NEAR) -> DataFrame:
