@@ -280,14 +280,17 @@ def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> Data
     """doc_id (the key), own_id, component (its least key) of rows (doc_id, own_id, text)."""
     with Scratch(rows.sparkSession) as scratch:
         each = scratch.table(_sets(rows, words, similarity))
-        nodes = scratch.table(each.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "own", "fp"), "doc_id").alias("x")).select("id", "content", "x.*"))
-        alone = each.join(nodes.select("id"), each["doc_id"] == nodes["id"], "left_semi")
+        nodes = scratch.table(each.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by("fp", "doc_id").alias("fp"), F.count("*").alias("rows")))
+        same = each.select("doc_id", "content").join(nodes.where("rows > 1").select("content", "id"), "content").where("doc_id <> id").select("doc_id")
+        alone = each.join(scratch.table(same), "doc_id", "left_anti")
         entries = alone.select(F.col("doc_id").alias("id"), "n", (F.col("own") / F.col("n")).alias("share"), F.posexplode("prefix").alias("pos", "s"))
         # as the smaller set of a pair, by (n, id), a set is found under fewer of its shingles
-        entries = scratch.table(entries.withColumn("low", F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)}D * n - 1e-6D) + 1")))
-        best = F.min(F.when(F.col("low"), F.struct("share", "id", "n", "pos")))
-        pivots = entries.groupBy("s").agg(F.count("*").alias("many"), best.alias("p")).where("many > 1 AND p IS NOT NULL")
-        shared = scratch.table(entries.join(scratch.table(pivots.select("s", "p")), "s").select("s", "id", "n", "pos", "low", F.col("p.id").alias("b_id"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos")))
+        entries = entries.withColumn("low", F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)}D * n - 1e-6D) + 1"))
+        # most shingles are one set's alone: only their hashes move
+        many = scratch.table(entries.groupBy("s").agg(F.count("*").alias("sets"), F.max("low").alias("low")).where("sets > 1 AND low").select("s"))
+        some = scratch.table(maybe(entries, "s", many).where("maybe").drop("maybe").join(many, "s", "left_semi"))
+        pivots = scratch.table(some.groupBy("s").agg(F.min(F.when(F.col("low"), F.struct("share", "id", "n", "pos"))).alias("p")))
+        shared = scratch.table(some.join(pivots, "s").select("s", "id", "n", "pos", "low", F.col("p.id").alias("b_id"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos")))
         stars = shared.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), "b_id", "b_n", "b_pos").where((F.col("a_id") != F.col("b_id")) & _room(similarity))
         points = nodes.select("id", "fp")
         ball = star(points, distance, best_count(points.count(), distance))
