@@ -200,8 +200,25 @@ def prefix(shingles: np.ndarray, bitmap: np.ndarray, similarity: float) -> tuple
     return np.concatenate([own, shingles[common]])[: n - math.ceil(similarity * n - 1e-6) + 1], len(own)
 
 
+def odd_bits(shingles: np.ndarray) -> bytes:
+    """Which of m slots an odd number of the shingles falls into; m is a power of two, twice the shingles at least.
+
+    Of two sets' slots, folded to the same m, no more differ than shingles are in one set only.
+    """
+    m = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only, by their odd_bits."""
+    a, b = (np.frombuffer(z, np.uint64) for z in ((x, y) if len(x) >= len(y) else (y, x)))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, a hash of the set of `words`-word shingles, the set's size n, its number of shingles that are not common, SimHash, and prefix."""
+    """doc_id, a hash of the set of `words`-word shingles, the set's size n, its number of shingles that are not common, SimHash, odd bits, and prefix."""
     sent = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,17 +229,26 @@ def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             first, own = zip(*(prefix(x, bitmap, similarity) for x in sets), strict=True)
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             columns = [
-                batch.column("doc_id"), batch.column("own_id"), pa.array(content, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(own, pa.int32()), pa.array(list(map(majority, sets)), pa.int64()),
+                batch.column("doc_id"), batch.column("own_id"), pa.array(content, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(own, pa.int32()), pa.array(list(map(majority, sets)), pa.int64()), pa.array(list(map(odd_bits, sets)), pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own_id", "content", "n", "own", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own_id", "content", "n", "own", "fp", "odd", "prefix"])
 
     bounded(rows.sparkSession)
-    return rows.select("doc_id", "own_id", "text").mapInArrow(run, "doc_id long, own_id long, content binary, n int, own int, fp long, prefix array<long>")
+    return rows.select("doc_id", "own_id", "text").mapInArrow(run, "doc_id long, own_id long, content binary, n int, own int, fp long, odd binary, prefix array<long>")
 
 
-def _similar(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets of shingles have at least that Jaccard similarity, counted exactly."""
+def _similar(scratch: Scratch, pairs: DataFrame, each: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of shingles have at least that Jaccard similarity, counted exactly.
+
+    Pairs whose odd bits show that too many shingles differ go first, so that whole sets move for few others than real links.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            keep = [least_difference(x, y) <= most for x, y, most in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), sizes.tolist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
@@ -238,6 +264,9 @@ def _similar(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, si
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    bits = [each.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"]
+    bounded(rows.sparkSession)
+    pairs = scratch.table(pairs.join(bits[0], "a").join(bits[1], "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(possible, "a long, b long"))
     ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     some = maybe(rows, "doc_id", ids).where("maybe").select("doc_id", "text")
     found = scratch.table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"))
@@ -295,13 +324,13 @@ def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> Data
         points = nodes.select("id", "fp")
         ball = star(points, distance, best_count(points.count(), distance))
         pairs = scratch.table(ball.union(stars.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        found = _similar(scratch, pairs, rows, words, similarity)
+        found = _similar(scratch, pairs, each, rows, words, similarity)
         label = scratch.table(components(found).withColumnRenamed("node", "id"))
         marked = scratch.table(shared.select("s", "id", "n", "pos", "low").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
         smaller = F.expr("named_struct('n', a_n, 'id', a_id) < named_struct('n', b_n, 'id', b_id)")
         rest = _named(marked.where("low"), "a").join(_named(marked, "b"), "s").where(smaller & (F.col("a_c") != F.col("b_c")) & _room(similarity))
         rest = scratch.table(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
-        more = _similar(scratch, rest, rows, words, similarity)
+        more = _similar(scratch, rest, each, rows, words, similarity)
         of = nodes.join(label, "id", "left").select("id", "content", F.coalesce("component", "id").alias("component"))
         if not more.isEmpty():  # links between components
             ends = [of.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]

@@ -302,6 +302,16 @@ def test_every_pair_at_the_threshold_is_grouped(spark):
     assert {d: x.component_id for d, x in got.items()} == want
 
 
+def test_odd_bits_never_overstate_a_difference():
+    r = np.random.default_rng(3)
+    for n, m, both in ((0, 5, 0), (1, 1, 1), (40, 45, 38), (400, 90, 80), (3000, 2900, 2800)):
+        x = r.integers(0, 2**63, n + m - both).astype(np.uint64)
+        a, b = x[:n], np.concatenate([x[:both], x[n:]])
+        got = simhash.least_difference(simhash.odd_bits(a), simhash.odd_bits(b))
+        assert got <= n + m - 2 * both and (both < n or both < m or got == 0)
+    assert got > 150
+
+
 def test_components_of_a_star_and_a_path(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(50)]
     got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
