@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -104,6 +107,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def let_go() -> None:
+    """Python workers are reused by later stages: drop the token encoder, with its caches, that an earlier one left in this worker."""
+    coder = getattr(sys.modules.get("periodica.llm.byte_bpe"), "_coder", None)
+    if coder is not None and coder.cache_info().currsize:
+        coder.cache_clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about `limit` bytes of `column`, one row at least."""
     for batch in batches:

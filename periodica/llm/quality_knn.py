@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, raw, texts
+from .common import bounded, let_go, raw, texts
 
 #: Hashed terms of a text (byte trigrams) and shares (`shares`), latent dimensions, labelled rows that
 #: are sent to every worker, neighbours that vote.
@@ -140,6 +140,7 @@ def keep_quality(documents: DataFrame, labels: DataFrame, column: str = "quality
     model = spark.sparkContext.broadcast(Neighbours.fit(*labelled(documents, labels, column, limit)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, bounded, components, cut, maybe, one_row_each, pieces, table, texts, without_rows
+from .common import LOWER, Scratch, bounded, components, cut, let_go, maybe, one_row_each, pieces, table, texts, without_rows
 
 SEED = 42
 
@@ -222,6 +222,7 @@ def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bitmap = sent.value
         for batch in pieces(batches, "text", 1 << 20):
             sets = [_shingle_set(x.as_buffer().to_pybytes(), words) for x in batch.column("text")]
@@ -251,6 +252,7 @@ def _similar(scratch: Scratch, pairs: DataFrame, each: DataFrame, rows: DataFram
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in pieces(batches, "text", 1 << 20):
             found = [_shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
