@@ -184,11 +184,16 @@ def one_row_each(documents: DataFrame) -> DataFrame:
 
 
 def without_rows(documents: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of documents, columns as they are, but for those whose key is a doc_id of find(doc_id: key, own_id, text)."""
+    """The rows of documents, columns as they are, but for those whose key is a doc_id of find(doc_id: key, own_id, text).
+
+    Rows that a bitmap of the keys rules out stay where they are; only the others are shuffled with their texts.
+    """
     rows, key = keyed(documents)
     gone = find(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    gone = gone.select(F.col("doc_id").alias("gone_key")).distinct()
-    return rows.join(gone, rows[key] == gone["gone_key"], "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    gone = table(gone.select(F.col("doc_id").alias("key")).distinct())
+    marked = maybe(rows.select(F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")), "key", gone)
+    left = marked.where("NOT maybe").union(marked.where("maybe").join(gone, "key", "left_anti").select(*marked.columns))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
 
 
 #: Bits of a sketch for each value in it, and the bounds of its size: the largest has 2**18 rows of 64 bits.

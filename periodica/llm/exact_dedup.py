@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, raw, table, texts, without_rows
+from .common import bounded, cut, maybe, raw, table, texts, without_rows
 
 #: Two primes under 2**31: a chunk's sum of byte times power stays under 2**52, so float64 dot products are exact.
 MODULI = (2147483647, 2147483629)
@@ -125,8 +125,9 @@ def exact_dedup(documents: DataFrame, moduli: tuple[int, int] = MODULI) -> DataF
     key = ["n_bytes", "h1", "h2"]
     rows = table(fingerprints(documents, moduli))
     groups = table(rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    shared = rows.join(groups.where("group_size > 1").select(*key), key, "left_semi").select(F.col("doc_id").alias("member"), *key).distinct()
-    members = texts(documents).join(shared, F.col("doc_id").eqNullSafe(F.col("member")) & (F.octet_length("text") == F.col("n_bytes")))
+    shared = table(rows.join(groups.where("group_size > 1").select(*key), key, "left_semi").select("doc_id", *key).distinct())
+    some = maybe(texts(documents), "doc_id", shared).where("maybe").drop("maybe")  # texts of other groups don't move
+    members = some.join(shared.withColumnRenamed("doc_id", "member"), F.col("doc_id").eqNullSafe(F.col("member")) & (F.octet_length("text") == F.col("n_bytes")))
     chunks = members.select(*key, F.explode(_parts(F.col("text").cast("binary"), COMPARED)).alias("p")).select(*key, "p.*")
     split = cut(chunks.groupBy(*key, "chunk").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(*key).distinct())
     out = rows.join(groups, key)

@@ -612,3 +612,20 @@ def test_encoded_documents(docs, rows, judge):
         r = got[d]
         assert r.n_tokens == len(ids) and r.ids == ids and r.decoded == (t or "")
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_rows_go_by_key_whatever_other_columns_are_called(spark):
+    rows = [(1, "a b", "x", 1, 7), (2, "a b", "y", 2, 8), (None, "q", None, 3, 9), (None, "q", "z", 4, 1), (1, "u", None, 5, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe string, sketch_word int, `row.key` int")
+    kept = exact_dedup.keep_exact(docs)
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    assert found[:2] == [(1, "u", None, 5, 2), (2, "a b", "y", 2, 8)] and len(found) == 3 and found[2] in rows[2:4]
+
+
+def test_rows_go_whether_or_not_the_bitmap_can_tell_them_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(400)], "doc_id long, text string")
+    want = [(i, f"text {i % 40}") for i in range(360, 400)]
+    assert sorted(map(tuple, exact_dedup.keep_exact(docs).collect())) == want
+    monkeypatch.setattr(common, "SKETCH_MOST", 1)
+    assert sorted(map(tuple, exact_dedup.keep_exact(docs).collect())) == want
