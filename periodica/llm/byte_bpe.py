@@ -13,10 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, pieces, texts
+from .common import bounded, pieces, texts, trim
 
 #: Pieces whose encodings a worker remembers at once.
-REMEMBERED = 250_000
+REMEMBERED = 160_000
 
 
 class PrefixBPE:
@@ -211,6 +211,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, pattern: str, ids: b
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         coder = _coder(vocabulary, pattern)
         for batch in pieces(batches, "text"):
             found = batch.column("text").to_pylist()

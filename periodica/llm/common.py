@@ -107,14 +107,20 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def trim() -> None:
+    """Python workers are reused by later stages: give memory that an earlier one freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def let_go() -> None:
-    """Python workers are reused by later stages: drop the token encoder, with its caches, that an earlier one left in this worker."""
+    """Drop the token encoder, with its caches, that an earlier stage left in this worker."""
     coder = getattr(sys.modules.get("periodica.llm.byte_bpe"), "_coder", None)
     if coder is not None and coder.cache_info().currsize:
         coder.cache_clear()
         gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
