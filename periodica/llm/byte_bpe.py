@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .common import bounded, pieces, texts, trim
 
 #: Pieces whose encodings a worker remembers at once.
-REMEMBERED = 160_000
+REMEMBERED = 250_000
 
 
 class PrefixBPE:
@@ -155,11 +155,11 @@ class Recent(dict):
 class TextBPE:
     """Encodes texts: each match of the pattern by itself; chunks between single spaces are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.bpe = PrefixBPE(ranks)
         self.split = regex.compile(pattern).findall
-        self.known = Recent(self._chunk, REMEMBERED)
-        self.matches = Recent(self._match, REMEMBERED // 2)
+        self.known = Recent(self._chunk, remembered)
+        self.matches = Recent(self._match, remembered // 2)
 
     def _match(self, text: str) -> tuple[int, ...]:
         return tuple(self.bpe.encode(text.encode()))
@@ -197,14 +197,15 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> TextBPE:
+def _coder(path: str, pattern: str, remembered: int = REMEMBERED) -> TextBPE:
     with open(path, "rb") as file:
-        return TextBPE(load_ranks(file.read()), pattern)
+        return TextBPE(load_ranks(file.read()), pattern, remembered)
 
 
-def encode_documents(documents: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, vocabulary: str, pattern: str, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with `ids` also the ids and the decoded text.
 
+    remembered: chunks that a worker remembers; it decides time and memory, no result.
     vocabulary: path of a rank file that is installed on every worker. One pass without a shuffle; a null text is empty,
     the empty text has no tokens, repeated rows and null doc_ids give a row each.
     """
@@ -212,7 +213,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, pattern: str, ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        coder = _coder(vocabulary, pattern)
+        coder = _coder(vocabulary, pattern, remembered)
         for batch in pieces(batches, "text"):
             found = batch.column("text").to_pylist()
             counts, hashes, decoded = zip(*map(coder.digest, found), strict=True)
