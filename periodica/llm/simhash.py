@@ -111,6 +111,7 @@ def _entries(distance: int, count: int) -> tuple[list[Column], list[Column]]:
 
 
 def _keyed(df: DataFrame, entries: list[Column], name: str) -> DataFrame:
+    """A row for each entry. Spark's estimate of their size leaves the number of entries out: joins of these rows need a hint, or the driver gathers them all."""
     named = [F.col(c).alias(f"{name}_{c}") for c in df.columns]
     return df.select(*named, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.value", *[f"{name}_{c}" for c in df.columns])
 
@@ -120,7 +121,7 @@ def star(points: DataFrame, distance: int, count: int) -> DataFrame:
     filed, probes = _entries(distance, count)
     pivots = _keyed(points, filed, "b").groupBy("seg", "value").agg(F.min("b_id").alias("b_id"), F.min_by("b_fp", "b_id").alias("b_fp"))
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
-    found = _keyed(points, probes, "a").join(pivots, ["seg", "value"]).where((F.col("a_id") != F.col("b_id")) & near)
+    found = _keyed(points, probes, "a").hint("merge").join(pivots, ["seg", "value"]).where((F.col("a_id") != F.col("b_id")) & near)
     return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
@@ -139,7 +140,7 @@ def links(points: DataFrame, distance: int = 4, count: int | None = None) -> Dat
     label = components(first).withColumnRenamed("node", "id")
     marked = cut(points.join(label, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("c")))
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
-    left, right = _keyed(marked, probes, "a"), _keyed(marked, filed, "b")
+    left, right = _keyed(marked, probes, "a").hint("merge"), _keyed(marked, filed, "b")
     rest = left.join(right, (left["seg"] == right["seg"]) & (left["value"] == right["value"]) & (left["a_c"] != right["b_c"]) & near)
     return first.union(rest.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct())
 
@@ -319,7 +320,7 @@ def _near(rows: DataFrame, words: int, similarity: float, distance: int) -> Data
         entries = entries.withColumn("low", F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)}D * n - 1e-6D) + 1"))
         # most shingles are one set's alone: only their hashes move
         many = scratch.table(entries.groupBy("s").agg(F.count("*").alias("sets"), F.max("low").alias("low")).where("sets > 1 AND low").select("s"))
-        some = scratch.table(maybe(entries, "s", many).where("maybe").drop("maybe").join(many, "s", "left_semi"))
+        some = scratch.table(maybe(entries, "s", many).where("maybe").drop("maybe").join(many.hint("merge"), "s", "left_semi"))
         pivots = scratch.table(some.groupBy("s").agg(F.min(F.when(F.col("low"), F.struct("share", "id", "n", "pos"))).alias("p")))
         shared = scratch.table(some.join(pivots, "s").select("s", "id", "n", "pos", "low", F.col("p.id").alias("b_id"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos")))
         stars = shared.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), "b_id", "b_n", "b_pos").where((F.col("a_id") != F.col("b_id")) & _room(similarity))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -272,6 +273,22 @@ def test_links_span_the_brute_force_components(spark, distance, count):
     assert {p: got.get(p, p) for p in signed} == want
 
 
+def test_the_driver_never_gathers_a_row_for_each_probe_or_shingle(spark, tmp_path, monkeypatch):
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    write, cut = common._written, simhash.cut
+    monkeypatch.setattr(common, "_written", lambda df: (seen(df), write(df))[1])
+    monkeypatch.setattr(simhash, "cut", lambda df: (seen(df), cut(df))[1])
+    r = random.Random(31)
+    spark.createDataFrame([(i, r.getrandbits(63)) for i in range(500)], "id long, fp long").write.parquet(str(tmp_path / "points"))
+    seen(simhash.links(spark.read.parquet(str(tmp_path / "points"))))
+    simhash.near_duplicates(table(spark, [(i, " ".join(prose(40 + i // 2, 60)) + f" {i}", "a") for i in range(20)])).collect()
+    joins = [line for x in plans for line in x.split("\n") if re.search(r"Join \[(seg|s)#", line)]
+    by_seg, by_shingle = [x for x in joins if "[seg#" in x], [x for x in joins if "[s#" in x and "LeftSemi" in x]
+    assert len(by_seg) >= 3 and by_shingle
+    assert all("SortMergeJoin" in x for x in by_seg + by_shingle), by_seg + by_shingle
+
+
 def test_near_copies_are_grouped_and_others_are_not(spark):
     base = prose(7, 300)
     near = base[:100] + ["changed"] + base[101:]
